@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..session import settle
 from .text import n_words, whole
 
-BLOCK = 256
+BLOCK = 128
 #: Slots of an output shard.
 SHARD_SLOTS = 4096
 #: Weights by the sources' order, repeating, and the most that a source's target is of its size.
@@ -27,7 +27,7 @@ MOST = 3
 CHUNK_ROWS, CHUNK_SLOTS = 20_000, 8192
 SEED = 20_251
 #: Rounds of the swap-or-not permutation.
-ROUNDS = 24
+ROUNDS = 16
 
 TOKEN = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
 
@@ -200,9 +200,10 @@ def _cut_texts(read: DataFrame, each: DataFrame, names: list[str], id_col: str,
     copies = copies.withColumn("_mine", F.filter("_spans", lambda s: s["times"] >= F.col("_copy")))
     length = F.aggregate("_mine", F.lit(0).cast("long"), lambda a, s: a + s["length"])
     copies = copies.withColumn("_all", length == F.col("_size"))
-    copies = copies.withColumn("_tokens", F.when(~F.col("_all"), F.regexp_extract_all(F.col(text_col), F.lit(TOKEN), F.lit(0))))
-    chosen = F.flatten(F.transform("_mine", lambda s: F.slice(F.col("_tokens"), (s["offset"] + 1).cast("int"), s["length"].cast("int"))))
-    text = F.when(F.col("_all"), F.col(text_col)).otherwise(F.array_join(chosen, ""))
+    tokens = F.regexp_extract_all(F.col(text_col), F.lit(TOKEN), F.lit(0))
+    cut = lambda ts: F.flatten(F.transform("_mine", lambda s: F.slice(ts, (s["offset"] + 1).cast("int"), s["length"].cast("int"))))
+    chosen = F.transform(F.array(tokens), lambda ts: F.array_join(cut(ts), ""))[0]  # the array binds the tokens: they are found once
+    text = F.when(F.col("_all"), F.col(text_col)).otherwise(chosen)
     out = copies.withColumn("_text", text)
     cols = [F.col("_text").alias(c) if c == text_col else F.length("_text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in names]
     return out.select(*cols)

@@ -20,7 +20,7 @@ from .text import BLANKS, whole
 
 BUCKETS = 16384
 #: Mean log ratio below which a document is rejected.
-THRESHOLD = -0.30
+THRESHOLD = -0.07
 #: Trusted documents that the target multinomial is fitted on, at most; chosen by a hash of the id.
 TRUSTED = 20_000
 #: Pseudo-count of each bucket, spread as the raw corpus is.
@@ -138,3 +138,16 @@ def score_documents(
     grams = F.greatest(F.size("_h") + F.size("_b"), F.lit(1))
     out = out.withColumn("score", total / grams)
     return out.select(*names, *ours[:6], "score", (~F.col("base_failed") & (F.col("score") >= threshold)).alias("kept"))
+
+
+def kept_documents(docs: DataFrame, ratios: list[float], id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score_documents keeps, with their columns.
+
+    A generator drops the others: a filter would be pushed below the word
+    arrays, and each array written out again for each of its uses.
+    """
+    names = [F.col(c) for c in docs.columns]
+    base = docs.select(F.struct(*names).alias("_row"), F.col(id_col).alias("_doc"), F.col(text_col).alias("_body"))
+    scored = score_documents(base, ratios, "_doc", "_body", threshold)
+    once = F.when(F.col("kept"), F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
+    return scored.select("_row", F.explode(once)).select("_row.*")
