@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary, exact_dedup, mixing, packing, quality, sharding, url_filter
+from . import binary, exact_dedup, mixing, near_dedup, packing, quality, sharding, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op9_arrow_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.token_report(_table(spark, sf_dir, "documents"))
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_source_mixing": op3_source_mixing,
@@ -49,6 +53,7 @@ QUERIES = {
     "op7_exact_dedup": op7_exact_dedup,
     "op8_slot_sharding": op8_slot_sharding,
     "op9_arrow_tokens": op9_arrow_tokens,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
 ORACLE = {
