@@ -6,14 +6,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryline.llm import exact_dedup, mixing, quality
+from quarryline.llm import exact_dedup, mixing, near_dedup, packing, quality
 from quarryline.session import shared_folder
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     ratios = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score_documents(docs, ratios).where("kept").select(*docs.columns)
+    return quality.kept_documents(docs, ratios)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,12 +21,22 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return exact_dedup.drop_copies(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates the document with the smallest id."""
+    return near_dedup.drop_near_copies(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("quality", filter_quality), ("exact_dedup", drop_exact_copies), ("mixing", mix_sources)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 2048 tokens, one row for each piece of a document."""
+    return packing.packing_report(docs)
+
+
+STAGES = [("quality", filter_quality), ("exact_dedup", drop_exact_copies), ("near_dedup", drop_near_copies), ("mixing", mix_sources), ("packing", pack)]
 
 #: Packing and the language-neutral hashing of the quality rules have no SQL form; the tests compare with a brute-force version.
 ORACLE_SQL = None
