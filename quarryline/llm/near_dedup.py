@@ -150,7 +150,7 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, t
 
 def components(links: DataFrame) -> DataFrame:
     """v, root of each vertex of the links (a, b): each round, every vertex moves to its least neighbour and links are redrawn."""
-    links = settle(links.where("a <> b").distinct())
+    links = settle(links)
     roots = None
     while not links.isEmpty():
         both = links.union(links.select("b", "a"))
@@ -186,10 +186,14 @@ def links_of(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Da
     stars = stars.join(sigs.select(F.col("v").alias("a"), F.col("sig").alias("sig_a")), "a")
     stars = stars.join(sigs.select(F.col("v").alias("b"), F.col("sig").alias("sig_b")), "b")
     stars = settle(stars.where(_likely(F.col("sig_a"), F.col("sig_b"))).select("a", "b", estimate(F.col("sig_a"), F.col("sig_b")).alias("e")))
-    best = settle(stars.groupBy("a").agg(F.max_by("b", F.struct("e", "b")).alias("b")))
+    # Of the hubs that are almost surely linked the least, so that a group gathers at one; else the likeliest.
+    sure = F.col("e") >= PERCENT / 100 + MARGIN / 5
+    rank = F.struct(F.when(sure, F.lit(-1.0)).otherwise(-F.col("e")), "b")
+    best = settle(stars.groupBy("a").agg(F.min(rank)["b"].alias("b")))
     first = settle(confirmed(best, reps, docs, id_col, text_col))
 
-    roots = components(first)
+    up = first.select(F.col("a").alias("b"), F.col("b").alias("root"))
+    roots = settle(first.join(up, "b", "left").select(F.col("a").alias("v"), F.coalesce("root", "b").alias("root")))
     a, b = (roots.select(F.col("v").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
     others = stars.join(best.select("a", F.col("b").alias("best")), "a").where("b <> best")
     others = others.join(a, "a", "left").join(b, "b", "left").where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")

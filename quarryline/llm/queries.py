@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary, exact_dedup, mixing, near_dedup, packing, quality, sharding, url_filter
+from . import binary, ctw, exact_dedup, mixing, near_dedup, packing, quality, sharding, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,10 +45,15 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(_table(spark, sf_dir, "documents"))
 
 
+def op5_context_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_source_mixing": op3_source_mixing,
     "op4_url_filter": op4_url_filter,
+    "op5_context_tree_scoring": op5_context_tree_scoring,
     "op6_harmonic_packing": op6_harmonic_packing,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_slot_sharding": op8_slot_sharding,
