@@ -287,8 +287,8 @@ ORACLE = {
         count(*) FILTER (o_orderstatus = 'P') AS failed, CAST(coalesce(sum(o_custkey) FILTER (o_orderstatus = 'P'), 0) AS BIGINT) AS pages FROM orders""",
     "metrics_by_domain": f"SELECT {_DOMAIN} AS domain, count(*) AS pages_crawled, CAST(sum(octet_length(encode(html))) AS BIGINT) AS bytes FROM pages GROUP BY 1",
     "latency_histogram": "SELECT event_type, " + ", ".join(f"count(*) FILTER (value <= {e}) AS le_{i}" for i, e in enumerate([0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0])) + ", count(*) AS n FROM events GROUP BY 1",
-    "rate_schedule": """SELECT event_id, round(i * 2.0::DOUBLE + max(at - i * 2.0::DOUBLE) OVER (PARTITION BY user_id ORDER BY i ROWS UNBOUNDED PRECEDING), 3) AS start
-        FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY at, event_id) - 1 AS i FROM (SELECT *, epoch_us(ts) / 1e6 AS at FROM events))""",
+    "rate_schedule": """SELECT event_id, round(i * 2.0::DOUBLE + max(came - i * 2.0::DOUBLE) OVER (PARTITION BY user_id ORDER BY i ROWS UNBOUNDED PRECEDING), 3) AS start
+        FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY came, event_id) - 1 AS i FROM (SELECT *, epoch_us(ts) / 1e6 AS came FROM events))""",
     "job_status": "SELECT user_id, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY 1",
     "robots_allowed": f"SELECT CAST(id AS BIGINT) AS id, expected AS allowed FROM {sql_values(['id', 'domain', 'agent', 'path', 'expected'], CHECKS)}",
     "ip_safe": f"SELECT ip, allow_private, expected AS safe FROM {sql_values(['ip', 'allow_private', 'expected'], IPS)}",
