@@ -20,8 +20,7 @@ from pyspark.sql import functions as F
 from ..session import settle
 
 #: Text bytes of a block, and documents.
-BLOCK_BYTES, BLOCK_DOCS = 8 << 20, 60_000
-#: Rows that one Arrow batch of blocks or messages may hold, as each is large.
+BLOCK_BYTES, BLOCK_DOCS = 4 << 20, 60_000
 ROWS = "block long, kind int, bucket int, payload binary"
 NAMES = ["block", "kind", "bucket", "payload"]
 TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]

@@ -111,7 +111,8 @@ def plan_slots(sources: DataFrame) -> DataFrame:
     some = some.withColumn("before", F.sum("slots").over(by_name) - F.col("slots"))
     some = some.withColumn("slots_of_all", F.sum("slots").over(Window.partitionBy())).where("slots > 0")
     parts = some.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / F.lit(CHUNK_SLOTS)))))
-    parts = parts.repartition("source", "part")
+    n = sources.agg(F.sum("target")).collect()[0][0] or 0
+    parts = parts.repartition(max(8, int(n / BLOCK / CHUNK_SLOTS) + 1), "source", "part")  # each row expands: no coalescing
     first = F.col("part") * CHUNK_SLOTS
     each = parts.withColumn("slot", F.explode(F.sequence(first, F.least(first + CHUNK_SLOTS, F.col("slots")) - 1)))
     place = permuted(F.col("before") + F.col("slot"), F.col("slots_of_all"), F.lit(0))
@@ -149,7 +150,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sources = settle(targets_of(rows.groupBy("source").agg(F.sum("size").alias("source_size"))))
     slots = plan_slots(sources).select("shard", "place", F.col("source").alias("s_source"), F.col("block").alias("s_block"))
     cut = pieces(rows)
-    taken = cut.join(slots, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("block") == F.col("s_block")))
+    taken = cut.join(slots.hint("merge"), F.col("source").eqNullSafe(F.col("s_source")) & (F.col("block") == F.col("s_block")))
     return rows, sources, taken.select("shard", "place", "row", "offset", "length")
 
 

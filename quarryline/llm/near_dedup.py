@@ -149,25 +149,37 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, t
 
 
 def components(links: DataFrame) -> DataFrame:
-    """v, root of each vertex of the links (a, b): each round, every vertex moves to its least neighbour and links are redrawn."""
+    """v, root of each vertex of the links (a, b); vertices have equal roots if they are connected.
+
+    Each round, every vertex points to the least of itself and its neighbours,
+    pointers are followed four steps, and links are redrawn between where their
+    ends have come. By turns least means by name, which gathers stars at once,
+    and by a hash of the round, which breaks up chains.
+    """
     links = settle(links)
-    roots = None
-    while not links.isEmpty():
+    if links.isEmpty():
+        return links.select(F.col("a").alias("v"), F.col("b").alias("root"))
+    roots, turn = None, 0
+    while True:
         both = links.union(links.select("b", "a"))
-        move = settle(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("to")))
+        rank = lambda c: F.struct(F.xxhash64(F.lit(turn), c) if turn % 2 else F.lit(0).cast("long"), F.col(c).alias("to"))  # noqa: B023, E731
+        move = both.groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("v"), F.least("m", rank("a"))["to"].alias("to"))
+        for _ in range(2):
+            move = settle(move)
+            on = move.select(F.col("v").alias("to"), F.col("to").alias("next"))
+            move = move.join(on, "to").select("v", F.col("next").alias("to"))
+        move = settle(move)
         if roots is None:
             roots = move.select("v", F.col("to").alias("root"))
         else:
-            step = move.select(F.col("v").alias("root"), F.col("to"))
-            roots = roots.join(step, "root", "left").select("v", F.coalesce("to", "root").alias("root"))
-        roots = settle(roots)
+            step = move.select(F.col("v").alias("root"), "to")
+            roots = settle(roots.join(step, "root", "left").select("v", F.coalesce("to", "root").alias("root")))
         a = move.select(F.col("v").alias("a"), F.col("to").alias("ta"))
         b = move.select(F.col("v").alias("b"), F.col("to").alias("tb"))
         links = links.join(a, "a").join(b, "b").where("ta <> tb").select(F.col("ta").alias("a"), F.col("tb").alias("b")).distinct()
-        links = settle(links)
-    if roots is None:
-        return links.select(F.col("a").alias("v"), F.col("b").alias("root"))
-    return roots
+        links, turn = settle(links), turn + 1
+        if links.isEmpty():
+            return roots
 
 
 def _unsettled(rows: DataFrame) -> DataFrame:
