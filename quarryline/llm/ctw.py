@@ -23,7 +23,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import settle
 from . import blocks
 
 DEPTH = 5
@@ -240,7 +239,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             _, _, w, text = blocks.unsqueeze(p)
             bucket = int(bucket_of(g[:1], buckets)[0]) if len(g) else zlib.crc32(text.tobytes().split(b"\n")[0]) % buckets
             found = np.array([words[x] for x in text.tobytes().split(b"\n")], np.int64) if len(w) else w
-            out.append((k, blocks.ANSWER, bucket, blocks.squeeze(value[np.searchsorted(grams, g)], found)))
+            out.append((k, blocks.ANSWER, bucket, blocks.squeeze(value[np.searchsorted(grams, g)].astype(np.float32), found)))
         return blocks.rows(out)
 
     answers = blocks.by_bucket(made, answered, blocks.ROWS)
@@ -274,4 +273,4 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         cols = [pa.array(ids, pa.int64(), mask=~known), held_out(ids, known), tokens, some, np.full(len(ids), total), base, score, bits]
         return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in cols], names)
 
-    return blocks.by_block(made, settle(answers), finish, schema)
+    return blocks.by_block(made, answers, finish, schema)
