@@ -6,8 +6,9 @@ candidates, bit counts of signatures give an estimate of the similarity that is
 corrected for chance agreement, and what passes is confirmed on full sets.
 
 No bucket is expanded into all its pairs. Members are first compared with their
-bucket's hub, best estimate first. Only members that are still in different
-components are then compared with each other, by bit counts inside the join,
+bucket's hub, best estimate first, and buckets that still hold several
+components with a second hub. Only members that are then in different
+components are compared with each other, by bit counts inside the join,
 so that nothing but likely links leaves it. Buckets with very many such members
 are split by a second band first. A link at similarity 0.75 shares no band with
 probability (1 - 0.75**4)**40, under 3e-7.
@@ -119,8 +120,10 @@ def estimate(a: Column, b: Column) -> Column:
     return (agree - 2.0**-BITS) / (1 - 2.0**-BITS)
 
 
-def _likely(a: Column, b: Column) -> Column:
-    return estimate(a, b) >= PERCENT / 100 - MARGIN
+def _likely(a: str, b: str) -> Column:
+    """Of two sketches (sig, size): sizes that allow the threshold, and an estimate near it."""
+    x, y = F.col(f"{a}.size"), F.col(f"{b}.size")
+    return (100 * F.least(x, y) >= PERCENT * F.greatest(x, y)) & (estimate(F.col(f"{a}.sig"), F.col(f"{b}.sig")) >= PERCENT / 100 - MARGIN)
 
 
 def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -132,6 +135,8 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, t
             cols = [pa.array(map(set_name, found), pa.string()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, ["v", "set"])
 
+    if pairs.isEmpty():
+        return pairs.select("a", "b")
     wanted = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct().join(reps, "v").select(F.col("doc_id").alias("_rep"))
     wanted = settle(wanted.distinct())
     if wanted.count() <= BROADCAST_IDS:
@@ -188,40 +193,71 @@ def _unsettled(rows: DataFrame) -> DataFrame:
     return rows.join(several.select("key", "n"), "key")
 
 
-def links_of(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Confirmed links (a, b) that join whatever is connected; reps: v, doc_id, keys, sig, one row for each set."""
-    sigs = reps.select("v", "sig")
+def _redrawn(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """The links (a, b) between different components, drawn between the components' roots."""
+    a, b = (roots.select(F.col("v").alias(c), F.col("root").alias(f"r_{c}")) for c in "ab")
+    return links.join(a, "a").join(b, "b").where("r_a <> r_b").select(F.col("r_a").alias("a"), F.col("r_b").alias("b")).distinct()
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (v, root of every vertex) after the confirmed links (a, b) have been added."""
+    step = components(_redrawn(links, roots)).select(F.col("v").alias("root"), F.col("root").alias("to"))
+    return settle(roots.join(step, "root", "left").select("v", F.coalesce("to", "root").alias("root")))
+
+
+def _apart(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """The links (a, b) whose ends are in different components."""
+    a, b = (roots.select(F.col("v").alias(c), F.col("root").alias(f"r_{c}")) for c in "ab")
+    return links.join(a, "a").join(b, "b").where("r_a <> r_b").select("a", "b")
+
+
+def _stars(members: DataFrame, hub: Column, sigs: DataFrame) -> DataFrame:
+    """Likely links (a, b, e) of members (key, v) with the hub that their bucket has, e the estimate."""
+    buckets = members.groupBy("key").agg(hub.alias("hub"))
+    stars = members.join(buckets, "key").where("v <> hub").select(F.col("v").alias("a"), F.col("hub").alias("b")).distinct()
+    stars = stars.join(sigs.select(F.col("v").alias("a"), F.col("sketch").alias("s_a")), "a")
+    stars = stars.join(sigs.select(F.col("v").alias("b"), F.col("sketch").alias("s_b")), "b")
+    return settle(stars.where(_likely("s_a", "s_b")).select("a", "b", estimate(F.col("s_a.sig"), F.col("s_b.sig")).alias("e")))
+
+
+def _pairs(rows: DataFrame, once: Column) -> DataFrame:
+    """Likely links (a, b) between the components of a bucket; rows: key, v, root, sketch, keys."""
+    x, y = (rows.select("key", F.col("v").alias(c), F.col("root").alias(f"r_{c}"), F.col("sketch").alias(f"s_{c}"), F.col("keys").alias(f"k_{c}")) for c in "ab")
+    likely = _likely("s_a", "s_b")
+    return x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("r_a") != F.col("r_b")) & likely & once).select("a", "b")
+
+
+def roots_of(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """v, root of each set; sets that confirmed links connect have equal roots. reps: v, doc_id, keys, sig, size, one row for each set."""
+    sigs = reps.select("v", F.struct("sig", "size").alias("sketch"))
     members = reps.select("v", F.explode("keys").alias("key"))
-    buckets = members.groupBy("key").agg(F.min("v").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
+    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     near = settle(members.join(buckets, "key"))  # members of buckets that hold more than one set
-    stars = near.where("v <> hub").groupBy(F.col("v").alias("a"), F.col("hub").alias("b")).agg(F.count(F.lit(1)).alias("bands"))
-    stars = stars.join(sigs.select(F.col("v").alias("a"), F.col("sig").alias("sig_a")), "a")
-    stars = stars.join(sigs.select(F.col("v").alias("b"), F.col("sig").alias("sig_b")), "b")
-    stars = settle(stars.where(_likely(F.col("sig_a"), F.col("sig_b"))).select("a", "b", estimate(F.col("sig_a"), F.col("sig_b")).alias("e")))
+    stars = _stars(near, F.min("v"), sigs)
     # Of the hubs that are almost surely linked the least, so that a group gathers at one; else the likeliest.
     sure = F.col("e") >= PERCENT / 100 + MARGIN / 5
     rank = F.struct(F.when(sure, F.lit(-1.0)).otherwise(-F.col("e")), "b")
     best = settle(stars.groupBy("a").agg(F.min(rank)["b"].alias("b")))
-    first = settle(confirmed(best, reps, docs, id_col, text_col))
-
-    up = first.select(F.col("a").alias("b"), F.col("b").alias("root"))
-    roots = settle(first.join(up, "b", "left").select(F.col("a").alias("v"), F.coalesce("root", "b").alias("root")))
-    a, b = (roots.select(F.col("v").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
-    others = stars.join(best.select("a", F.col("b").alias("best")), "a").where("b <> best")
-    others = others.join(a, "a", "left").join(b, "b", "left").where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
-
-    placed = near.select("key", "v").join(roots, "v", "left").select("key", "v", F.coalesce("root", "v").alias("root"))
-    open_ = settle(_unsettled(placed))
-    open_ = open_.join(sigs, "v")
-    big = open_.where(F.col("n") >= SPLIT_FROM).join(reps.select("v", "keys"), "v")
-    again = F.transform("keys", lambda k: F.xxhash64(F.greatest("key", k), F.least("key", k)))
-    big = big.withColumn("key", F.explode(F.array_distinct(again))).select("key", "v", "root", "sig")
-    small = open_.where(F.col("n") < SPLIT_FROM).select("key", "v", "root", "sig")
-    both = small if big.isEmpty() else small.unionByName(big)
-    x, y = (both.select("key", F.col("v").alias(c), F.col("root").alias(f"r_{c}"), F.col("sig").alias(f"s_{c}")) for c in "ab")
-    pairs = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("r_a") != F.col("r_b")) & _likely(F.col("s_a"), F.col("s_b")))
-    rest = settle(others.union(pairs.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    return first.union(confirmed(rest, reps, docs, id_col, text_col))
+    roots = _joined(reps.select("v", F.col("v").alias("root")), confirmed(best, reps, docs, id_col, text_col))
+    others = settle(_apart(stars.join(best, ["a", "b"], "left_anti"), roots))
+    roots = _joined(roots, confirmed(others, reps, docs, id_col, text_col))
+
+    # Another hub for the buckets that still hold several components, then the pairs that these have left.
+    open_ = settle(_unsettled(near.join(roots, "v")))
+    again = settle(_apart(_stars(open_.select("key", "v"), F.max("v"), sigs), roots))
+    roots = _joined(roots, confirmed(again, reps, docs, id_col, text_col))
+    open_ = settle(_unsettled(open_.select("key", "v").join(roots, "v")))
+    big = open_.where(F.col("n") >= SPLIT_FROM).join(reps.select("v", "keys", F.struct("sig", "size").alias("sketch")), "v")
+    split = F.transform("keys", lambda k: F.xxhash64(F.greatest("key", k), F.least("key", k)))
+    big = big.withColumn("key", F.explode(F.array_distinct(split))).select("key", "v", "root", "sketch")
+    small = open_.where(F.col("n") < SPLIT_FROM)
+    keys = small.groupBy("v").agg(F.collect_set("key").alias("keys"))
+    small = small.join(keys, "v").join(sigs, "v").select("key", "v", "root", "sketch", "keys")
+    pairs = _pairs(small, (F.col("key") == F.array_min(F.array_intersect("k_a", "k_b"))))  # each pair leaves one of its buckets
+    if not big.isEmpty():
+        pairs = pairs.union(_pairs(big.withColumn("keys", F.lit(None)), F.lit(True)))
+    rest = settle(pairs.distinct())
+    return _joined(roots, confirmed(rest, reps, docs, id_col, text_col))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -234,9 +270,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     rows = settle(sketches(docs, id_col, text_col))
     full = rows.where("v is not null")
-    reps = settle(full.groupBy("v").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("sig").alias("sig")))
-    roots = components(links_of(reps, docs, id_col, text_col))
-    found = reps.select("v", "doc_id").join(roots, "v", "left").select("v", "doc_id", F.coalesce("root", "v").alias("root"))
+    reps = settle(full.groupBy("v").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("sig").alias("sig"), F.first("n_shingles").alias("size")))
+    found = reps.select("v", "doc_id").join(roots_of(reps, docs, id_col, text_col), "v")
     least = found.groupBy("root").agg(F.min("doc_id").alias("component"))
     found = found.join(least, "root").select(F.col("v").alias("_v"), "component")
     out = rows.select("doc_id", "n_shingles", "v").join(found, F.col("v") == F.col("_v"), "left")
