@@ -6,8 +6,7 @@ candidates, bit counts of signatures give an estimate of the similarity that is
 corrected for chance agreement, and what passes is confirmed on full sets.
 
 No bucket is expanded into all its pairs. Members are first compared with their
-bucket's hub, best estimate first, and buckets that still hold several
-components with a second hub. Only members that are then in different
+bucket's hub, best estimate first. Only members that are then in different
 components are compared with each other, by bit counts inside the join,
 so that nothing but likely links leaves it. Buckets with very many such members
 are split by a second band first. A link at similarity 0.75 shares no band with
@@ -211,9 +210,9 @@ def _apart(links: DataFrame, roots: DataFrame) -> DataFrame:
     return links.join(a, "a").join(b, "b").where("r_a <> r_b").select("a", "b")
 
 
-def _stars(members: DataFrame, hub: Column, sigs: DataFrame) -> DataFrame:
-    """Likely links (a, b, e) of members (key, v) with the hub that their bucket has, e the estimate."""
-    buckets = members.groupBy("key").agg(hub.alias("hub"))
+def _stars(members: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Likely links (a, b, e) of members (key, v) with their bucket's hub, its least member, e the estimate."""
+    buckets = members.groupBy("key").agg(F.min("v").alias("hub"))
     stars = members.join(buckets, "key").where("v <> hub").select(F.col("v").alias("a"), F.col("hub").alias("b")).distinct()
     stars = stars.join(sigs.select(F.col("v").alias("a"), F.col("sketch").alias("s_a")), "a")
     stars = stars.join(sigs.select(F.col("v").alias("b"), F.col("sketch").alias("s_b")), "b")
@@ -233,7 +232,7 @@ def roots_of(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Da
     members = reps.select("v", F.explode("keys").alias("key"))
     buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     near = settle(members.join(buckets, "key"))  # members of buckets that hold more than one set
-    stars = _stars(near, F.min("v"), sigs)
+    stars = _stars(near, sigs)
     # Of the hubs that are almost surely linked the least, so that a group gathers at one; else the likeliest.
     sure = F.col("e") >= PERCENT / 100 + MARGIN / 5
     rank = F.struct(F.when(sure, F.lit(-1.0)).otherwise(-F.col("e")), "b")
@@ -242,11 +241,7 @@ def roots_of(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Da
     others = settle(_apart(stars.join(best, ["a", "b"], "left_anti"), roots))
     roots = _joined(roots, confirmed(others, reps, docs, id_col, text_col))
 
-    # Another hub for the buckets that still hold several components, then the pairs that these have left.
     open_ = settle(_unsettled(near.join(roots, "v")))
-    again = settle(_apart(_stars(open_.select("key", "v"), F.max("v"), sigs), roots))
-    roots = _joined(roots, confirmed(again, reps, docs, id_col, text_col))
-    open_ = settle(_unsettled(open_.select("key", "v").join(roots, "v")))
     big = open_.where(F.col("n") >= SPLIT_FROM).join(reps.select("v", "keys", F.struct("sig", "size").alias("sketch")), "v")
     split = F.transform("keys", lambda k: F.xxhash64(F.greatest("key", k), F.least("key", k)))
     big = big.withColumn("key", F.explode(F.array_distinct(split))).select("key", "v", "root", "sketch")
