@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 # Elements whose content is no text, elements that mark a node's place, elements without an end tag.
 DROPPED = {"script", "style", "noscript", "svg", "canvas", "iframe", "template"}
 PLACES = ("address", "header", "footer")
+SCHEMES = {"mailto": "email", "tel": "phone"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 
 
@@ -32,7 +33,7 @@ def cleaned(html: Column) -> Column:
 
 
 class _Walker(HTMLParser):
-    """Text nodes with the nearest place around them, and anchors and canonical links in document order."""
+    """Text nodes with the nearest place around them, anchors and canonical links in document order, and contacts in anchors."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -40,11 +41,27 @@ class _Walker(HTMLParser):
         self.skip = 0
         self.nodes: list[tuple[str, str]] = []
         self.links: list[tuple[str, str]] = []
+        self.contacts: list[list] = []
+        self.said: list[str] | None = None  # text of the anchor that is open
+
+    def _contact(self, href):
+        """A contact named by an anchor: type, value, where it stands, and the anchor's text so far."""
+        lower, around = href.lower(), set(self.open)
+        place = next((t for t in ("address", "footer") if t in around), None)
+        scheme = next((x for x in SCHEMES if lower.startswith(x + ":")), None)
+        self.said = []
+        if scheme:
+            value = href[len(scheme) + 1 :].split("?")[0].strip()
+            if value:
+                self.contacts.append([SCHEMES[scheme], value, place or scheme, self.said, f"{scheme}:{value}"])
+        elif "linkedin.com" in lower:
+            self.contacts.append(["linkedin", href, place or ("header" if "header" in around else "anchor"), self.said, href])
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
         if not self.skip and tag == "a" and a.get("href"):
             self.links.append(("anchor", a["href"]))
+            self._contact(a["href"].strip())
         if not self.skip and tag == "link" and "canonical" in (a.get("rel") or "").lower().split() and a.get("href"):
             self.links.append(("canonical", a["href"]))
         if tag not in VOID:
@@ -52,6 +69,8 @@ class _Walker(HTMLParser):
             self.skip += tag in DROPPED
 
     def handle_endtag(self, tag):
+        if tag == "a":
+            self.said = None
         if tag in self.open:
             while True:
                 last = self.open.pop()
@@ -64,7 +83,12 @@ class _Walker(HTMLParser):
             place = next((t for t in reversed(self.open) if t in PLACES), "body")
             self.nodes.append((text.strip(), place))
 
-    handle_data = handle_comment = _node
+    def handle_data(self, data):
+        if self.said is not None and not self.skip and data.strip():
+            self.said.append(data.strip())
+        self._node(data)
+
+    handle_comment = _node
 
 
 def _walk(html: str | None) -> _Walker:
@@ -87,6 +111,28 @@ def text_nodes(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "html").mapInArrow(run, "page_id long, pos int, text string, source_type string")
 
 
+PIECES = "page_id long, url string, pos int, type string, text string, source_type string, context string"
+
+
+def pieces(pages: DataFrame) -> DataFrame:
+    """What a page offers to contact extraction, in one pass: contacts in anchors (type set), then text nodes (type null)."""
+    names = ["page_id", "url", "pos", "type", "text", "source_type", "context"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for p, u, h in zip(*(b.column(i).to_pylist() for i in range(3))):
+                found = _walk(h)
+                rows = [(t, value, place, "".join(said) or form) for t, value, place, said, form in found.contacts]
+                rows += [(None, text, place, None) for text, place in found.nodes]
+                out += [(p, u, i, *r) for i, r in enumerate(rows)]
+            cols = zip(*out) if out else [[]] * 7
+            types = (pa.int64(), pa.string(), pa.int32(), *[pa.string()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names)
+
+    return pages.select("page_id", "url", "html").mapInArrow(run, PIECES)
+
+
 def raw_links(pages: DataFrame) -> DataFrame:
     """page_id, pos, kind, href (resolved against the page's url); the canonical link comes first."""
 

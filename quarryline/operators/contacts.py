@@ -50,3 +50,20 @@ def export(contacts: DataFrame) -> DataFrame:
     """The columns of the CSV export, all strings; nulls are empty, confidence has two decimals. Write with header and escape='"'."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     return contacts.select("type", text("value"), F.col("normalized_value").alias("normalized"), text("country"), F.format_string("%.2f", "confidence").alias("confidence"), text("page"))
+
+
+#: Rows of an export at most.
+EXPORT_MOST = 50_000
+
+
+def json_objects(contacts: DataFrame) -> DataFrame:
+    """Each contact as a JSON object; nulls are kept, confidence has two decimals, times are ISO."""
+    names = [c for c in ("type", "value", "normalized_value", "country", "confidence", "source_type", "page", "context", "created_at") if c in contacts.columns]
+    show = {"normalized_value": F.col("normalized_value").alias("normalized"), "confidence": F.round("confidence", 2).alias("confidence"), "page": F.col("page").alias("source_url")}
+    return contacts.select(*KEY, F.to_json(F.struct(*[show.get(c, F.col(c)) for c in names]), {"ignoreNullFields": "false"}).alias("object"))
+
+
+def export_json(contacts: DataFrame) -> DataFrame:
+    """One row, json: an array of the first EXPORT_MOST contacts by key."""
+    first = json_objects(contacts).orderBy(*KEY).limit(EXPORT_MOST).agg(F.array_sort(F.collect_list(F.struct(*KEY, "object"))).alias("all"))
+    return first.select(F.concat(F.lit("["), F.array_join(F.transform("all", lambda x: x["object"]), ",\n  "), F.lit("]")).alias("json"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,11 @@ from ..functions import contacts as C
 from ..functions import html as H
 from ..functions import urls as U
 from ..operators import contacts as O
+from ..operators import pages as G
 from ..operators import policy as P
+from ..session import shared_folder
+from ..sources import sitemaps
+from ..streaming import contacts as stream
 from ..sources.tables import sql_values, table, values
 
 ALLOWED = ["example.com"]
@@ -32,6 +38,18 @@ IPS = [
 RESPONSES = [
     (1, 200, "text/html; charset=utf-8", 100), (2, 301, None, 0), (3, 503, None, 0), (4, 200, "image/png", 5), (5, 200, "text/html", 20000000), (6, 404, "text/html", 7), (7, 200, None, 1),
 ]
+ANCHORS = [
+    (1, "https://example.com/", '<footer><address><a href="mailto:a@example.org?subject=x">Mail <b>us</b></a></address><a href="TEL:+1 415 555 2671"></a></footer>'),
+    (2, "https://example.com/x", '<header><a href="mailto:b@example.org">B</a><a href="https://www.linkedin.com/company/acme">Acme</a></header><a href="mailto:?x">none</a><a href="/y">y</a>'),
+    (3, None, None),
+]
+SITEMAPS = [
+    ("https://example.com/index.xml", '<?xml version="1.0"?><sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><sitemap><loc> https://example.com/a.xml </loc></sitemap>'
+     "<sitemap><loc>https://example.com/b.xml</loc></sitemap><sitemap><loc>https://example.com/index.xml</loc></sitemap></sitemapindex>"),
+    ("https://example.com/a.xml", "<urlset><url><loc>https://example.com/one/</loc></url><url><loc>https://blog.example.com/two?b=2&amp;a=1</loc></url><url><loc>https://else.org/x</loc></url></urlset>"),
+    ("https://example.com/b.xml", "<urlset><url><loc>https://example.com/one</loc></url><url><loc>https://example.com/pic.png</loc></url><url><loc>https://example.com/three</loc></url></urlset>"),
+    ("https://example.com/bad.xml", "<urlset><url><loc>https://example.com/four</loc>"), ("https://example.com/empty.xml", " "),
+]
 LINKS = [("/", "/about"), ("/", "/contact"), ("/about", "/team"), ("/team", "/jane"), ("/jane", "/"), ("/contact", "/about"), ("/jane", "/far")]
 
 
@@ -87,7 +105,10 @@ def page_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _emails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    return _emails_of(table(spark, sf_dir, "documents"))
+
+
+def _emails_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", "text", F.posexplode(C.emails(F.col("text"))).alias("pos", "value"))
 
 
@@ -123,7 +144,11 @@ def context_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _emails(spark, sf_dir).where(C.email_valid(F.col("value"))).select(
+    return _contacts(table(spark, sf_dir, "documents"))
+
+
+def _contacts(docs: DataFrame) -> DataFrame:
+    return _emails_of(docs).where(C.email_valid(F.col("value"))).select(
         F.lit("email").alias("type"), "value", F.lower("value").alias("normalized_value"), F.lit(None).cast("string").alias("country"),
         F.when(F.col("doc_id") % 3 == 0, 0.95).otherwise(0.85).alias("confidence"), F.col("source").alias("job"), F.col("doc_id").cast("string").alias("page"), "doc_id", "pos",
     )
@@ -149,6 +174,32 @@ def export_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.export(contacts_dedup(spark, sf_dir))
 
 
+def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.json_objects(contacts_dedup(spark, sf_dir))
+
+
+def contacts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same contacts as contacts_dedup, from documents read as a stream of files."""
+    schema = table(spark, sf_dir, "documents").schema
+    docs = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parque[t]")
+    return stream.run(_contacts(docs), ["doc_id", "pos"], f"{shared_folder(spark)}/contacts_{uuid.uuid4().hex}")
+
+
+def page_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.page_contacts(table(spark, sf_dir, "pages"))
+
+
+def attribute_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contacts that anchors of authored pages name, as they are written there."""
+    found = H.pieces(values(spark, "page_id long, url string, html string", ANCHORS)).where("type is not null")
+    return found.select("page_id", "pos", "type", F.col("text").alias("raw_value"), "source_type", "context")
+
+
+def sitemap_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    starts = values(spark, "url string, seq int", [("https://example.com/index.xml", 0), ("https://example.com/bad.xml", 1)])
+    return sitemaps.discover(starts, values(spark, "url string, xml string", SITEMAPS), ALLOWED)
+
+
 def jobs_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest 50 orders as jobs, with a key that breaks ties."""
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("created_at"))
@@ -218,6 +269,7 @@ QUERIES = {
     for f in (
         page_report, url_functions, url_normalize, html_title, html_clean, content_hash, html_text_nodes, html_links, email_standard, email_obfuscated,
         phone_candidates, linkedin_parse, context_snippet, contacts_dedup, contacts_new_per_job, contacts_list_search, contacts_page, export_csv,
+        export_json, contacts_stream, page_contacts, attribute_contacts, sitemap_discovery,
         jobs_list, system_stats, metrics_by_domain, latency_histogram, rate_schedule, job_status, robots_rules, robots_allowed, ip_safe,
         fetch_outcome, retry_schedule, frontier_crawl,
     )
@@ -282,6 +334,12 @@ ORACLE = {
     "contacts_list_search": f"SELECT * FROM {_DEDUP} WHERE value ILIKE '%example%' OR normalized_value ILIKE '%example%' OR page ILIKE '%example%'",
     "contacts_page": f"SELECT * FROM {_DEDUP} ORDER BY confidence DESC, normalized_value LIMIT 50 OFFSET 2",
     "export_csv": f"SELECT type, value, normalized_value AS normalized, '' AS country, printf('%.2f', confidence) AS confidence, page FROM {_DEDUP}",
+    "export_json": f"""SELECT type, normalized_value, CAST(to_json({{'type': type, 'value': value, 'normalized': normalized_value, 'country': country,
+        'confidence': round(confidence, 2), 'source_url': page}}) AS VARCHAR) AS object FROM {_DEDUP}""",
+    "attribute_contacts": """SELECT * FROM (VALUES (1::BIGINT, 0, 'email', 'a@example.org', 'address', 'Mailus'), (1, 1, 'phone', '+1 415 555 2671', 'footer', 'tel:+1 415 555 2671'),
+        (2, 0, 'email', 'b@example.org', 'mailto', 'B'), (2, 1, 'linkedin', 'https://www.linkedin.com/company/acme', 'header', 'Acme')) AS t(page_id, pos, type, raw_value, source_type, context)""",
+    "contacts_stream": f"SELECT * FROM {_DEDUP}",
+    "sitemap_discovery": "SELECT * FROM (VALUES ('https://example.com/one', 1), ('https://blog.example.com/two?a=1&b=2', 2), ('https://example.com/three', 3)) AS t(url, rank)",
     "jobs_list": "SELECT o_orderkey AS id, o_orderstatus AS status FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50",
     "system_stats": """SELECT count(*) AS jobs, count(*) FILTER (o_orderstatus = 'O') AS running, count(*) FILTER (o_orderstatus = 'F') AS completed,
         count(*) FILTER (o_orderstatus = 'P') AS failed, CAST(coalesce(sum(o_custkey) FILTER (o_orderstatus = 'P'), 0) AS BIGINT) AS pages FROM orders""",

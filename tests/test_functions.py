@@ -71,3 +71,34 @@ def test_crawl_ends(spark):
     links = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c")], "src string, dst string")
     got = P.crawl(spark.createDataFrame([("a",)], "url string"), links, 5)
     assert sorted((r.url, r.depth) for r in got.collect()) == [("a", 0), ("b", 1), ("c", 2)]
+
+
+def test_page_contacts(spark):
+    from quarryline.operators.pages import page_contacts
+
+    html = (
+        '<header><a href="https://www.linkedin.com/company/Acme?x=1">Acme</a></header><p>Write to info@example.org, ann [at] example [dot] org or INFO@example.org.</p>'
+        '<address><a href="mailto:a%2Eb@example.org?subject=x">Mail <b>us</b></a></address><footer><a href="MAILTO:info@example.org"></a>'
+        '<a href="tel:+44 20 7946 0958">call</a></footer><p>Call (415) 555-2671 or 2024-01-02. linkedin.com/in/jane-doe</p><a href="mailto:">none</a>'
+    )
+    rows = [(1, "https://example.com/x", html), (2, "https://example.com/contact", "<p>x@example.org</p>"), (3, None, None)]
+    got = page_contacts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {(r.page_id, r.type, r.value, r.normalized_value, r.confidence, r.source_type) for r in got} == {
+        (1, "linkedin", "https://www.linkedin.com/company/Acme", "https://www.linkedin.com/company/acme", 0.98, "header"),
+        (1, "linkedin", "https://www.linkedin.com/in/jane-doe", "https://www.linkedin.com/in/jane-doe", 0.85, "body"),
+        (1, "email", "a.b@example.org", "a.b@example.org", 0.95, "address"), (1, "email", "info@example.org", "info@example.org", 0.88, "footer"),
+        (1, "email", "ann [at] example [dot] org", "ann@example.org", 0.75, "body"), (1, "phone", "+44 20 7946 0958", "+442079460958", 0.95, "footer"),
+        (1, "phone", "(415) 555-2671", "+14155552671", 0.88, "body"), (2, "email", "x@example.org", "x@example.org", 0.90, "body"),
+    }
+    assert {r.context for r in got if r.source_type in ("address", "footer")} == {"Mailus", "mailto:info@example.org", "call"}
+
+
+def test_json_export(spark):
+    import json
+
+    from quarryline.operators.contacts import export_json
+
+    rows = spark.createDataFrame([("email", "b", "B", None, 0.951, "j", "p"), ("email", "a", "A", "US", 0.9, "j", "p")], "type string, normalized_value string, value string, country string, confidence double, job string, page string")
+    got = json.loads(export_json(rows).first().json)
+    assert [(r["normalized"], r["country"], r["confidence"], r["source_url"]) for r in got] == [("a", "US", 0.9, "p"), ("b", None, 0.95, "p")]
+    assert json.loads(export_json(rows.limit(0)).first().json) == []
