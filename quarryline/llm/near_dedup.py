@@ -7,10 +7,12 @@ corrected for chance agreement, and what passes is confirmed on full sets.
 
 No bucket is expanded into all its pairs. Members are first compared with their
 bucket's hub, best estimate first. Only members that are then in different
-components are compared with each other, by bit counts inside the join,
-so that nothing but likely links leaves it. Buckets with very many such members
-are split by a second band first. A link at similarity 0.75 shares no band with
-probability (1 - 0.75**4)**40, under 3e-7.
+components are compared with each other, by bit counts inside the join and, if
+these leave it open, by their shingles' 32-bit fingerprints (all of them up to
+SAMPLE, a sample by hash of larger sets), so that little but links leaves it.
+Buckets with very many such members are split by a second band first. A link at
+similarity 0.75 shares no band with probability (1 - 0.75**4)**40, under 3e-7,
+and just one with under 5e-6.
 """
 
 from __future__ import annotations
@@ -31,6 +33,10 @@ HASHES = ROWS * BANDS
 LONGS = HASHES * BITS // 64
 #: Estimates below the threshold by more than this are dropped: five standard deviations.
 MARGIN = 0.2
+#: Fingerprints that stand for a set in the join, and by how many percent a pair may miss the threshold there:
+#: one for sets that are there in full (collisions), five standard deviations for sampled ones.
+SAMPLE = 512
+SLACK, SLACK_SAMPLED = 1, 13
 #: Unsettled members from which a bucket is split by a second band.
 SPLIT_FROM = 2000
 #: Id lists up to this many rows are broadcast (about 16 MB), larger ones joined by a shuffle.
@@ -125,6 +131,15 @@ def _likely(a: str, b: str) -> Column:
     return (100 * F.least(x, y) >= PERCENT * F.greatest(x, y)) & (estimate(F.col(f"{a}.sig"), F.col(f"{b}.sig")) >= PERCENT / 100 - MARGIN)
 
 
+def _texts(wanted: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The texts of the documents that stand for the sets `wanted` (v)."""
+    wanted = settle(wanted.distinct().join(reps, "v").select(F.col("doc_id").alias("_rep")).distinct())
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    return texts.join(wanted, F.col("_id").eqNullSafe(F.col("_rep")), "left_semi").select("_text")
+
+
 def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
 
@@ -136,12 +151,7 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, t
 
     if pairs.isEmpty():
         return pairs.select("a", "b")
-    wanted = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct().join(reps, "v").select(F.col("doc_id").alias("_rep"))
-    wanted = settle(wanted.distinct())
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    texts = texts.join(wanted, F.col("_id").eqNullSafe(F.col("_rep")), "left_semi").select("_text")
+    texts = _texts(pairs.select(F.col("a").alias("v")).union(pairs.select("b")), reps, docs, id_col, text_col)
     full = settle(texts.mapInArrow(sets, "v string, set array<long>"))
     if not reps.groupBy("doc_id").count().where("count > 1").isEmpty():
         full = full.dropDuplicates(["v"])
@@ -152,6 +162,40 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, t
     return pairs.select("a", "b").join(one, "a").join(two, "b").where(alike).select("a", "b")
 
 
+def fingerprints(s: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """A level, the set's 32-bit fingerprints at that level and at the next; each level halves the range they come from."""
+    x = np.unique(s.astype(np.uint32))
+    level = max(0, int(np.ceil(np.log2(len(s) / SAMPLE)))) if len(s) else 0
+    at = x[x < np.uint64(2 ** (32 - level))]
+    # Only a set that is larger by a third or less can be a partner, so small sets need no next level.
+    above = at[at < np.uint64(2 ** (31 - level))] if 100 * len(s) >= PERCENT * SAMPLE else at[:0]
+    return level, at.view(np.int32), above.view(np.int32)
+
+
+def samples(wanted: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """v, prints (level, at, above) of the sets `wanted` (v)."""
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.int32())
+        for b in batches:
+            found = [shingle_set(x.as_py()) for x in b.column(0)]
+            level, at, above = zip(*map(fingerprints, found), strict=True) if found else ((), (), ())
+            cols = [pa.array(map(set_name, found), pa.string()), pa.array(level, pa.int32()), pa.array(at, kind), pa.array(above, kind)]
+            yield pa.RecordBatch.from_arrays(cols, ["v", "level", "at", "above"])
+
+    read = _texts(wanted, reps, docs, id_col, text_col).mapInArrow(sample, "v string, level int, at array<int>, above array<int>")
+    return settle(read.select("v", F.struct("level", "at", "above").alias("prints"))).dropDuplicates(["v"])
+
+
+def _close(a: str, b: str) -> Column:
+    """Of two sets' prints: near the threshold where both are given at the same level."""
+    la, lb = F.col(f"{a}.level"), F.col(f"{b}.level")
+    x = F.when(la < lb, F.col(f"{a}.above")).otherwise(F.col(f"{a}.at"))
+    y = F.when(lb < la, F.col(f"{b}.above")).otherwise(F.col(f"{b}.at"))
+    least = F.when(F.greatest(la, lb) > 0, F.lit(PERCENT - SLACK_SAMPLED)).otherwise(F.lit(PERCENT - SLACK))
+    return (100 + least) * F.size(F.array_intersect(x, y)) >= least * (F.size(x) + F.size(y))
+
+
 def components(links: DataFrame) -> DataFrame:
     """v, root of each vertex of the links (a, b); vertices have equal roots if they are connected.
 
@@ -220,10 +264,10 @@ def _stars(members: DataFrame, sigs: DataFrame) -> DataFrame:
 
 
 def _pairs(rows: DataFrame, once: Column) -> DataFrame:
-    """Likely links (a, b) between the components of a bucket; rows: key, v, root, sketch, keys."""
-    x, y = (rows.select("key", F.col("v").alias(c), F.col("root").alias(f"r_{c}"), F.col("sketch").alias(f"s_{c}"), F.col("keys").alias(f"k_{c}")) for c in "ab")
-    likely = _likely("s_a", "s_b")
-    return x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("r_a") != F.col("r_b")) & likely & once).select("a", "b")
+    """Likely links (a, b) between the components of a bucket; rows: key, v, root, sketch, prints, keys."""
+    x, y = (rows.select("key", F.col("v").alias(c), F.col("root").alias(f"r_{c}"), *[F.col(k).alias(f"{k[0]}_{c}") for k in ("sketch", "prints", "keys")]) for c in "ab")
+    alike = _likely("s_a", "s_b") & once & _close("p_a", "p_b")
+    return x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("r_a") != F.col("r_b")) & alike).select("a", "b")
 
 
 def roots_of(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -242,15 +286,17 @@ def roots_of(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Da
     roots = _joined(roots, confirmed(others, reps, docs, id_col, text_col))
 
     open_ = settle(_unsettled(near.join(roots, "v")))
-    big = open_.where(F.col("n") >= SPLIT_FROM).join(reps.select("v", "keys", F.struct("sig", "size").alias("sketch")), "v")
-    split = F.transform("keys", lambda k: F.xxhash64(F.greatest("key", k), F.least("key", k)))
-    big = big.withColumn("key", F.explode(F.array_distinct(split))).select("key", "v", "root", "sketch")
+    prints = samples(open_.select("v"), reps, docs, id_col, text_col)
+    carried = reps.select("v", F.struct("sig", "size").alias("sketch"), F.col("keys").alias("all")).join(prints, "v")
+    big = open_.where(F.col("n") >= SPLIT_FROM).join(carried, "v")
+    second = F.transform(F.array_remove("all", F.col("key")), lambda k: F.xxhash64(F.greatest("key", k), F.least("key", k)))
+    big = big.withColumn("key", F.explode(F.array_distinct(second))).select("key", "v", "root", "sketch", "prints", F.lit(None).alias("keys"))
     small = open_.where(F.col("n") < SPLIT_FROM)
     keys = small.groupBy("v").agg(F.collect_set("key").alias("keys"))
-    small = small.join(keys, "v").join(sigs, "v").select("key", "v", "root", "sketch", "keys")
+    small = small.join(keys, "v").join(carried, "v").select("key", "v", "root", "sketch", "prints", "keys")
     pairs = _pairs(small, (F.col("key") == F.array_min(F.array_intersect("k_a", "k_b"))))  # each pair leaves one of its buckets
     if not big.isEmpty():
-        pairs = pairs.union(_pairs(big.withColumn("keys", F.lit(None)), F.lit(True)))
+        pairs = pairs.union(_pairs(big, F.lit(True)))
     rest = settle(pairs.distinct())
     return _joined(roots, confirmed(rest, reps, docs, id_col, text_col))
 

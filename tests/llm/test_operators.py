@@ -264,3 +264,28 @@ def test_pipeline(spark, tmp_path):
 
     sf = "/root/testdata/sf0.001"
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+@pytest.mark.parametrize("split_from", [2000, 2])
+def test_near_variants(spark, monkeypatch, split_from):
+    """Groups around the threshold, with few and with many words, against all pairs; once with every bucket split."""
+    monkeypatch.setattr(near_dedup, "SPLIT_FROM", split_from)
+    rng, rows = np.random.default_rng(5), []
+    for n in (60, 150, 1400):
+        base = [f"w{n}x{i}" for i in range(n)]
+        for _ in range(30):
+            words = list(base)
+            for at in rng.integers(0, n, max(1, int(n * rng.uniform(0.005, 0.06)))):
+                words[at] = f"new{rng.integers(1 << 40)}"
+            rows.append((len(rows), " ".join(words)))
+    sets = [set(near_dedup.shingle_set(t).tolist()) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(root))
+    assert 3 < len(set(root)) < len(rows)
