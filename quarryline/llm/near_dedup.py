@@ -96,8 +96,8 @@ def set_name(s: np.ndarray) -> str:
     return blake2b(s.tobytes(), digest_size=16).hexdigest()
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, v (the set's name; null for an empty set), keys, sig."""
+def sketches(docs: DataFrame, id_col: str, text_col: str, digest: bool = False) -> DataFrame:
+    """doc_id, n_shingles, v (the set's name; null for an empty set), keys, sig, and the text's digest if asked for."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -110,10 +110,15 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 keys.append(band_keys(m) if len(s) else None)
                 sigs.append(signature(m) if len(s) else None)
             cols = [b.column(0), pa.array(n, pa.int64()), pa.array(names, pa.string()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "v", "keys", "sig"])
+            yield pa.RecordBatch.from_arrays([*cols, *b.columns[2:]], ["doc_id", "n_shingles", "v", "keys", "sig", *b.schema.names[2:]])
 
-    read = docs.select(F.col(id_col).cast("long"), F.col(text_col))
-    return read.mapInArrow(sketch, "doc_id long, n_shingles long, v string, keys array<long>, sig array<long>")
+    read = docs.select(F.col(id_col).cast("long"), F.col(text_col), *[_digest(text_col).alias("digest")] * digest)
+    return read.mapInArrow(sketch, "doc_id long, n_shingles long, v string, keys array<long>, sig array<long>" + ", digest binary" * digest)
+
+
+def _digest(text_col: str) -> Column:
+    """16 bytes that tell texts apart."""
+    return F.unhex(F.md5(F.col(text_col).cast("binary")))
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -321,7 +326,30 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that near_groups keeps, one for each component, with their columns."""
-    groups = settle(near_groups(docs, id_col, text_col))
-    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    """The rows of docs that are left when each component of near duplicates keeps one, with their columns.
+
+    Rows are told apart by id and text, so rows that share an id, or have none,
+    stand for themselves. The smallest id of a component stays, null ids come
+    last; of equal ids the least digest of the text; of repeated rows (equal id
+    and text) one. Documents without words all stay.
+    """
+    rows = settle(sketches(docs, id_col, text_col, digest=True))
+    full = rows.where("v is not null")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    reps = settle(full.groupBy("v").agg(F.min(order).alias("first"), F.first("keys").alias("keys"), F.first("sig").alias("sig"), F.first("n_shingles").alias("size")))
+    reps = reps.withColumn("doc_id", F.col("first.doc_id"))
+    found = reps.select("v", "first").join(roots_of(reps.drop("first"), docs, id_col, text_col), "v")
+    least = found.groupBy("root").agg(F.min("first").alias("first"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
+    read = full.select("v", "doc_id", "digest").join(found.drop("first").join(least, "root").select("v", "first"), "v")
+    verdicts = settle(read.select("doc_id", "digest", stays.alias("stays")))
+    gone = verdicts.where(~F.col("stays")).select("doc_id", "digest").distinct()
+    names = docs.columns
+    docs = docs.withColumn("_digest", _digest(text_col))
+    these = lambda rows: docs[id_col].cast("long").eqNullSafe(rows["doc_id"]) & (docs["_digest"] == rows["digest"])
+    repeated = settle(verdicts.where("stays").groupBy("doc_id", "digest").count().where("count > 1"))
+    if repeated.isEmpty():
+        return docs.join(gone, these(gone), "left_anti").select(*names)
+    others = gone.unionByName(repeated.select("doc_id", "digest"))
+    once = docs.join(repeated, these(repeated), "left_semi").dropDuplicates([id_col, "_digest"])
+    return docs.join(others, these(others), "left_anti").unionByName(once).select(*names)

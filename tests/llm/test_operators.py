@@ -289,3 +289,24 @@ def test_near_variants(spark, monkeypatch, split_from):
     got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     assert {r.doc_id: r.component_id for r in got} == dict(enumerate(root))
     assert 3 < len(set(root)) < len(rows)
+
+
+def test_near_copies_by_row(spark):
+    """One row is left of each component, whatever ids its rows have; rows that share an id, or have none, stand for themselves."""
+    word = lambda c, n=40: " ".join(f"{c}{i}" for i in range(n))
+    rows = [
+        (1, word("a"), 0), (None, word("a") + " end", 1),  # a copy without an id
+        (None, word("b"), 2), (None, word("c"), 3),  # unique, no id
+        (5, word("d"), 4), (6, word("d") + " end", 5), (6, word("e"), 6),  # an id on a copy and on a unique text
+        (None, word("f"), 7), (None, word("f") + " end", 8), (None, word("f").upper(), 9),  # a component without any id
+        (7, word("g"), 10), (7, word("g") + " end", 11),  # an id on both texts of a component
+        (8, word("h"), 12), (8, word("h"), 13), (9, word("h") + " end", 14),  # repeated rows
+        (None, None, 15), (None, "", 16), (8, " ", 17), (8, " ", 18),  # no words
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest int").repartition(3)
+    got = near_dedup.drop_near_copies(docs)
+    assert got.columns == docs.columns
+    left = sorted(r.digest for r in got.collect())
+    groups = [{0}, {2}, {3}, {4}, {6}, {7, 8, 9}, {10, 11}, {12, 13}, {15}, {16}, {17}, {18}]
+    assert len(left) == len(groups) and all(len(g & set(left)) == 1 for g in groups)
+    assert near_dedup.drop_near_copies(docs.limit(0)).count() == 0
