@@ -1,4 +1,4 @@
-"""From pages to contacts: anchors first, then text nodes, the first of equal ones."""
+"""From pages, and from plain texts, to contacts: anchors first, then text nodes, the first of equal ones."""
 
 from __future__ import annotations
 
@@ -60,3 +60,35 @@ def page_contacts(pages: DataFrame) -> DataFrame:
     first = F.row_number().over(Window.partitionBy("page_id", "type", "normalized_value").orderBy("pos", "pattern", "nth"))
     out = out.withColumn("first", first).where("first = 1 or (type = 'email' and anchor)")
     return out.select("page_id", "type", "value", "normalized_value", "country", "confidence", "source_type", "context")
+
+
+#: The host whose region numbers in plain texts take, as these name no page.
+TEXT_HOST = "example.com"
+
+
+def text_contacts(docs: DataFrame) -> DataFrame:
+    """type, value, normalized_value, country, confidence, job, page, doc_id, pattern, nth of all that the patterns find in each whole text.
+
+    Emails, obfuscated emails, phone numbers and profiles, as in a text node of
+    a page's body. Each place counts; null or empty texts have no contacts.
+    """
+    rows = docs.select("doc_id", "source", "text", F.lit(None).cast("string").alias("type"))
+    rows = rows.select("doc_id", "source", F.posexplode(_matches()).alias("nth", "m"))
+    kind, raw, host, source, contact = F.col("m.type"), F.col("m.raw"), F.lit(TEXT_HOST), F.lit("body"), F.lit(False)
+    e164, profile, email = C.phone_e164(raw, host), C.profile(raw), F.lower(F.col("m.email"))
+    normalized = (
+        F.when((kind == "email") & C.email_valid(email), email)
+        .when((kind == "phone") & ~C.phone_false_positive(raw), e164)
+        .when(kind == "linkedin", profile["normalized"])
+    )
+    origin = F.when(F.col("m.pattern") == 1, F.lit("obfuscated")).otherwise(source)
+    confidence = (
+        F.when(kind == "email", C.email_confidence(origin, contact))
+        .when(kind == "phone", C.phone_confidence(source, raw.startswith("+"), C.phone_valid(e164), contact))
+        .otherwise(C.profile_confidence(source, contact))
+    )
+    return rows.select(
+        kind.alias("type"), F.when(kind == "linkedin", profile["clean"]).otherwise(raw).alias("value"), normalized.alias("normalized_value"),
+        F.when((kind == "phone") & e164.startswith("+1"), C.region(host)).alias("country"), confidence.alias("confidence"),
+        F.col("source").alias("job"), F.col("doc_id").cast("string").alias("page"), "doc_id", F.col("m.pattern").alias("pattern"), "nth",
+    ).where("normalized_value is not null")

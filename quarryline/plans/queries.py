@@ -185,6 +185,42 @@ def contacts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.run(_contacts(docs), ["doc_id", "pos"], f"{shared_folder(spark)}/contacts_{uuid.uuid4().hex}")
 
 
+# The queries above follow their SQL, which knows plain emails only. Those below are over all kinds of contacts and have no SQL form.
+ARRIVAL = ["doc_id", "pattern", "nth"]
+
+
+def all_contacts_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Emails, obfuscated emails, phone numbers and profiles in the whole texts of documents."""
+    return O.dedup(G.text_contacts(table(spark, sf_dir, "documents")), ARRIVAL)
+
+
+def all_contacts_new_per_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.new_by_job(all_contacts_dedup(spark, sf_dir))
+
+
+def all_contacts_list_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.search(all_contacts_dedup(spark, sf_dir), type="phone", text="555")
+
+
+def all_contacts_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.page(all_contacts_dedup(spark, sf_dir), [F.desc("confidence"), "normalized_value", "type"], 50, 2)
+
+
+def all_export_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.export(all_contacts_dedup(spark, sf_dir))
+
+
+def all_export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.json_objects(all_contacts_dedup(spark, sf_dir))
+
+
+def all_contacts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same contacts as all_contacts_dedup, from documents read as a stream of files."""
+    schema = table(spark, sf_dir, "documents").schema
+    docs = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parque[t]")
+    return stream.run(G.text_contacts(docs), ARRIVAL, f"{shared_folder(spark)}/contacts_{uuid.uuid4().hex}")
+
+
 def page_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.page_contacts(table(spark, sf_dir, "pages"))
 
@@ -269,7 +305,8 @@ QUERIES = {
     for f in (
         page_report, url_functions, url_normalize, html_title, html_clean, content_hash, html_text_nodes, html_links, email_standard, email_obfuscated,
         phone_candidates, linkedin_parse, context_snippet, contacts_dedup, contacts_new_per_job, contacts_list_search, contacts_page, export_csv,
-        export_json, contacts_stream, page_contacts, attribute_contacts, sitemap_discovery,
+        export_json, contacts_stream, all_contacts_dedup, all_contacts_new_per_job, all_contacts_list_search, all_contacts_page, all_export_csv,
+        all_export_json, all_contacts_stream, page_contacts, attribute_contacts, sitemap_discovery,
         jobs_list, system_stats, metrics_by_domain, latency_histogram, rate_schedule, job_status, robots_rules, robots_allowed, ip_safe,
         fetch_outcome, retry_schedule, frontier_crawl,
     )

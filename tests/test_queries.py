@@ -35,3 +35,74 @@ def test_oracle(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - set(Q.ORACLE)))
 def test_rows(spark, name):
     assert Q.QUERIES[name](spark, "/root/testdata/sf0.01").count() > 0  # the smallest pages hold no contact
+
+
+def brute(docs):
+    """(type, normalized): value, job, page, best confidence and country of the contacts in whole texts, the first of each by id."""
+    import re
+
+    from quarryline.functions import contacts as C
+
+    out = {}
+
+    def add(kind, key, value, doc, confidence, country=None):
+        first = out.setdefault((kind, key), [value, doc[2], str(doc[0]), confidence, country])
+        first[3] = max(first[3], confidence)
+
+    def email(address):
+        return address.rsplit(".", 1)[1].lower() not in C.NOT_TLD and 2 <= len(address.rsplit(".", 1)[1]) <= 24
+
+    for doc in sorted(docs, key=lambda d: d[0]):
+        text = doc[1] or ""
+        for m in re.finditer(C.EMAIL, text, re.A):
+            if email(m[0]):
+                add("email", m[0].lower(), m[0], doc, 0.85)
+        for m in re.finditer(C.OBFUSCATED, text, re.A):
+            if email(address := f"{m[1]}@{m[2]}.{m[3]}"):
+                add("email", address.lower(), m[0], doc, 0.75)
+        for m in re.finditer(C.PHONE, text):
+            raw, d = m[0], re.sub("[^0-9]", "", m[0])
+            n, bare = len(d), not re.search("[-() +]", m[0])
+            odd = re.fullmatch(r"\d{4}[-/.]\d{1,2}[-/.]\d{1,2}", raw) or d in ("0123456789", "1234567890", "0987654321", "9876543210")
+            if n < 7 or n > 15 or odd or len(set(d)) == 1 or (bare and (n <= 8 or len(set(d)) <= 3)):
+                continue
+            plus = raw[0] == "+"
+            e164 = "+" + d if plus and n >= 8 else "+1" + d if n == 10 else "+" + d if n == 11 and d[0] == "1" else None
+            if e164:
+                home = e164.startswith("+1")
+                valid = not home or bool(re.fullmatch(r"\+1[2-9]\d\d[2-9]\d{6}", e164))
+                add("phone", e164, raw, doc, 0.95 if plus and valid else 0.88 if valid else 0.75, "US" if home else None)
+        for m in re.finditer(C.PROFILE, text):
+            if len(m[2]) >= 2 and m[2].lower() not in C.NO_PROFILE:
+                clean = f"https://www.linkedin.com/{m[1].lower()}/{m[2]}"
+                add("linkedin", clean.lower(), clean, doc, 0.85)
+    return {(*k, *v) for k, v in out.items()}
+
+
+def test_all_contacts(spark, tmp_path):
+    """All kinds of contacts reach dedup, counts, search, page, exports and stream, in whole texts."""
+    far = "filler words " * 20_000
+    docs = [
+        (3, "Mail Ann@Example.com or +1 (415) 555-2671, see https://www.linkedin.com/in/Jane-Doe/ now", "b"),
+        (1, "write to bob [at] example [dot] com or bob@example.com, call 415-555-2671", "a"), (2, far + "linkedin.com/company/Acme and ann AT example DOT com +44 20 7946 0958", "a"),
+        (4, "no: logo@2x.png 2024-01-02 1111111111 12345678 linkedin.com/in/login", "c"), (5, None, "a"), (6, "", "b"),
+    ]
+    folder = str(tmp_path)
+    spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(3).write.parquet(f"{folder}/documents.parquet")
+    cols = ["type", "normalized_value", "value", "job", "page", "confidence", "country"]
+    want = brute(docs)
+    assert {k[0] for k in want} == {"email", "phone", "linkedin"} and len(want) == 6
+    for name in ("all_contacts_dedup", "all_contacts_stream"):
+        got = [tuple(r) for r in Q.QUERIES[name](spark, folder).select(*cols).collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert {tuple(r) for r in Q.QUERIES["all_contacts_new_per_job"](spark, folder).collect()} == {("a", 2, 2, 1), ("b", 0, 0, 1)}
+    assert {r.normalized_value for r in Q.QUERIES["all_contacts_list_search"](spark, folder).collect()} == {"+14155552671"}
+    assert [r.type for r in Q.QUERIES["all_contacts_page"](spark, folder).collect()] == [r[0] for r in sorted(want, key=lambda r: (-r[5], r[1], r[0]))[2:]]
+    assert sorted((r.type, r.normalized) for r in Q.QUERIES["all_export_csv"](spark, folder).collect()) == sorted(r[:2] for r in want)
+    assert sorted((r.type, r.normalized_value) for r in Q.QUERIES["all_export_json"](spark, folder).collect()) == sorted(r[:2] for r in want)
+
+
+def test_all_contacts_of_documents(spark):
+    docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source").collect()]
+    got = Q.QUERIES["all_contacts_dedup"](spark, "/root/testdata/sf0.01").collect()
+    assert {(r.type, r.normalized_value, r.value, r.job, r.page, r.confidence, r.country) for r in got} == brute(docs)
