@@ -82,12 +82,13 @@ def html_text_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Crawlable links of each page, the first 200 in document order, with their rank by priority."""
+    """Crawlable links of each page to its host or below it, the first 200 in document order, with their rank by priority."""
     pages = table(spark, sf_dir, "pages")
     found = H.raw_links(pages).withColumn("url", U.normalized(F.col("href"))).where("url is not null")
     found = found.where(U.crawlable(F.col("url"))).groupBy("page_id", "url").agg(F.min_by("kind", "pos").alias("kind"), F.min("pos").alias("pos"))
-    own = U.domain(F.col("own"))
-    found = found.join(pages.select("page_id", F.col("url").alias("own")), "page_id").where(U.domain(F.col("url")) == own)
+    own, host = U.domain(F.col("own")), U.domain(F.col("url"))
+    below = (own != "") & host.endswith(F.concat(F.lit("."), own))
+    found = found.join(pages.select("page_id", F.col("url").alias("own")), "page_id").where((host == own) | below)
     nth = F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))
     found = found.withColumn("nth", nth).where("nth <= 200")
     found = found.withColumn("priority", U.priority(F.col("url")) + F.when(F.col("kind") == "canonical", 10).otherwise(0))

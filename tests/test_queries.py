@@ -106,3 +106,12 @@ def test_all_contacts_of_documents(spark):
     docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source").collect()]
     got = Q.QUERIES["all_contacts_dedup"](spark, "/root/testdata/sf0.01").collect()
     assert {(r.type, r.normalized_value, r.value, r.job, r.page, r.confidence, r.country) for r in got} == brute(docs)
+
+
+def test_links_below_host(spark, tmp_path):
+    html = "".join(f'<a href="{u}">x</a>' for u in ("/a", "https://blog.example.com/b", "https://x.Blog.Example.com/c", "https://notexample.com/d", "https://com/e", "https://other.org/f"))
+    pages = [(1, "https://example.com/", html), (2, "https://blog.example.com/", html)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {(r.page_id, r.url) for r in Q.QUERIES["html_links"](spark, str(tmp_path)).collect()}
+    below = ["https://blog.example.com/b", "https://x.blog.example.com/c"]
+    assert got == {(1, "https://example.com/a"), *[(1, u) for u in below], (2, "https://blog.example.com/a"), *[(2, u) for u in below]}
