@@ -38,7 +38,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", filter_quality), ("exact_dedup", drop_exact_copies), ("near_dedup", drop_near_copies), ("mixing", mix_sources), ("packing", pack)]
 
-#: Packing and the language-neutral hashing of the quality rules have no SQL form; the tests compare with a brute-force version.
+#: Packing and the language-neutral hashing of the quality rules have no SQL form. The tests see only that the whole gives rows; no brute-force version of it exists yet.
 ORACLE_SQL = None
 
 
