@@ -6,25 +6,30 @@ candidates, bit counts of signatures give an estimate of the similarity that is
 corrected for chance agreement, and what passes is confirmed on full sets.
 
 No bucket is expanded into all its pairs. Members are first compared with their
-bucket's hub, best estimate first. Only members that are then in different
-components are compared with each other, by bit counts inside the join and, if
-these leave it open, by their shingles' 32-bit fingerprints (all of them up to
-SAMPLE, a sample by hash of larger sets), so that little but links leaves it.
-Buckets with very many such members are split by a second band first. A link at
-similarity 0.75 shares no band with probability (1 - 0.75**4)**40, under 3e-7,
-and just one with under 5e-6.
+bucket's hub, its first member, best estimate first. Only members that are then
+in different components are compared with each other: by bit counts inside the
+join and, if these leave it open, by their shingles' 32-bit fingerprints, so
+that little but links leaves it. Where that would be too many comparisons for a
+bucket (HOT_WORK), its members are joined exactly by their rarest shingles,
+which every link at the threshold shares. Full sets confirm every link.
+
+What a link at similarity 0.75 exactly can be lost by: no common band, under
+3e-7 ((1 - 0.75**4)**40); the estimate MARGIN too low, 4.9 standard deviations,
+about 2e-6; for sets over SAMPLE shingles their fingerprints, 7 standard
+deviations, under 1e-11. All three fall fast above 0.75.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import settle
+from ..session import forget, settle
 
 SHINGLE = 5
 PERCENT = 75
@@ -34,11 +39,11 @@ LONGS = HASHES * BITS // 64
 #: Estimates below the threshold by more than this are dropped: five standard deviations.
 MARGIN = 0.2
 #: Fingerprints that stand for a set in the join, and by how many percent a pair may miss the threshold there:
-#: one for sets that are there in full (collisions), five standard deviations for sampled ones.
-SAMPLE = 512
-SLACK, SLACK_SAMPLED = 1, 13
-#: Unsettled members from which a bucket is split by a second band.
-SPLIT_FROM = 2000
+#: one for sets that are there in full (collisions), seven standard deviations for sampled ones.
+SAMPLE = 1024
+SLACK, SLACK_SAMPLED = 1, 15
+#: Comparisons in a bucket from which its members are joined by rare shingles instead.
+HOT_WORK = 1_000_000
 #: Id lists up to this many rows are broadcast (about 16 MB), larger ones joined by a shuffle.
 BROADCAST_IDS = 400_000
 
@@ -90,16 +95,19 @@ def signature(m: np.ndarray) -> np.ndarray:
     return np.packbits(bits.reshape(-1), bitorder="little").view(np.int64)
 
 
-def set_name(s: np.ndarray) -> str:
+def set_name(s: np.ndarray) -> bytes:
     from hashlib import blake2b
 
-    return blake2b(s.tobytes(), digest_size=16).hexdigest()
+    return blake2b(s.tobytes(), digest_size=16).digest()
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, digest: bool = False) -> DataFrame:
-    """doc_id, n_shingles, v (the set's name; null for an empty set), keys, sig, and the text's digest if asked for."""
+    """row (a number for each row), doc_id, n_shingles, name (of the set; null for an empty one), keys, sig, and the text's digest if asked for."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        at = TaskContext.get().partitionId() << 36
         for b in batches:
             n, names, keys, sigs = [], [], [], []
             for text in b.column(1):
@@ -109,11 +117,13 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, digest: bool = False)
                 m = minima(s) if len(s) else None
                 keys.append(band_keys(m) if len(s) else None)
                 sigs.append(signature(m) if len(s) else None)
-            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(names, pa.string()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*cols, *b.columns[2:]], ["doc_id", "n_shingles", "v", "keys", "sig", *b.schema.names[2:]])
+            longs = pa.list_(pa.int64())
+            cols = [pa.array(range(at, at + len(n)), pa.int64()), b.column(0), pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array(keys, longs), pa.array(sigs, longs)]
+            at += len(n)
+            yield pa.RecordBatch.from_arrays([*cols, *b.columns[2:]], ["row", "doc_id", "n_shingles", "name", "keys", "sig", *b.schema.names[2:]])
 
     read = docs.select(F.col(id_col).cast("long"), F.col(text_col), *[_digest(text_col).alias("digest")] * digest)
-    return read.mapInArrow(sketch, "doc_id long, n_shingles long, v string, keys array<long>, sig array<long>" + ", digest binary" * digest)
+    return read.mapInArrow(sketch, "row long, doc_id long, n_shingles long, name binary, keys array<long>, sig array<long>" + ", digest binary" * digest)
 
 
 def _digest(text_col: str) -> Column:
@@ -136,35 +146,58 @@ def _likely(a: str, b: str) -> Column:
     return (100 * F.least(x, y) >= PERCENT * F.greatest(x, y)) & (estimate(F.col(f"{a}.sig"), F.col(f"{b}.sig")) >= PERCENT / 100 - MARGIN)
 
 
-def _texts(wanted: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The texts of the documents that stand for the sets `wanted` (v)."""
-    wanted = settle(wanted.distinct().join(reps, "v").select(F.col("doc_id").alias("_rep")).distinct())
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    return texts.join(wanted, F.col("_id").eqNullSafe(F.col("_rep")), "left_semi").select("_text")
+@dataclass(frozen=True)
+class Corpus:
+    """The documents, and reps: one row for each distinct set, v (its vertex), name, doc_id (of one document that has it), keys, sig, size."""
 
+    docs: DataFrame
+    id_col: str
+    text_col: str
+    reps: DataFrame
 
-def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
+    def derived(self, wanted: DataFrame, make: Callable[[np.ndarray], tuple], kinds: dict[str, tuple[str, pa.DataType]]) -> DataFrame:
+        """Settled v and what make(set) gives, for the sets `wanted` (v), from the whole texts of documents that have them."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [shingle_set(x.as_py()) for x in b.column(0)]
-            cols = [pa.array(map(set_name, found), pa.string()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["v", "set"])
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found = [shingle_set(x.as_py()) for x in b.column(0)]
+                made = list(zip(*map(make, found), strict=True)) if found else [()] * len(kinds)
+                cols = [pa.array(map(set_name, found), pa.binary()), *(pa.array(c, t) for c, (_, t) in zip(made, kinds.values(), strict=True))]
+                yield pa.RecordBatch.from_arrays(cols, ["name", *kinds])
+
+        wanted = settle(wanted.distinct().join(self.reps.select("v", "name", "doc_id"), "v"))
+        n = wanted.count()
+        few = (lambda df: F.broadcast(df)) if n <= BROADCAST_IDS else (lambda df: df)
+        ids = wanted.select(F.col("doc_id").alias("_rep")).distinct()
+        texts = self.docs.select(F.col(self.id_col).cast("long").alias("_id"), F.col(self.text_col).alias("_text"))
+        texts = texts.join(few(ids), F.col("_id").eqNullSafe(F.col("_rep")), "left_semi").select("_text")
+        parsed = texts.mapInArrow(run, "name binary, " + ", ".join(f"{c} {t}" for c, (t, _) in kinds.items()))
+        out = settle(parsed.join(few(wanted.select("v", "name")), "name").drop("name"))
+        forget(wanted)
+        return out if out.count() == n else out.dropDuplicates(["v"])  # rows that repeat an id and a set
+
+
+LONGS_OF = ("array<long>", pa.list_(pa.int64()))
+INTS_OF = ("array<int>", pa.list_(pa.int32()))
+
+
+def full_sets(wanted: DataFrame, corpus: Corpus) -> DataFrame:
+    """v, set of the sets `wanted` (v)."""
+    return corpus.derived(wanted, lambda s: (s.view(np.int64),), {"set": LONGS_OF})
 
+
+def confirmed(pairs: DataFrame, corpus: Corpus) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold, settled."""
     if pairs.isEmpty():
         return pairs.select("a", "b")
-    texts = _texts(pairs.select(F.col("a").alias("v")).union(pairs.select("b")), reps, docs, id_col, text_col)
-    full = settle(texts.mapInArrow(sets, "v string, set array<long>"))
-    if not reps.groupBy("doc_id").count().where("count > 1").isEmpty():
-        full = full.dropDuplicates(["v"])
+    full = full_sets(pairs.select(F.col("a").alias("v")).union(pairs.select("b")), corpus)
     one = full.select(F.col("v").alias("a"), F.col("set").alias("set_a"))
     two = full.select(F.col("v").alias("b"), F.col("set").alias("set_b"))
     both = F.size(F.array_intersect("set_a", "set_b"))
     alike = 100 * both >= PERCENT * (F.size("set_a") + F.size("set_b") - both)
-    return pairs.select("a", "b").join(one, "a").join(two, "b").where(alike).select("a", "b")
+    out = settle(pairs.select("a", "b").join(one, "a").join(two, "b").where(alike).select("a", "b"))
+    forget(full)
+    return out
 
 
 def fingerprints(s: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
@@ -177,19 +210,12 @@ def fingerprints(s: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
     return level, at.view(np.int32), above.view(np.int32)
 
 
-def samples(wanted: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def prints_of(wanted: DataFrame, corpus: Corpus) -> DataFrame:
     """v, prints (level, at, above) of the sets `wanted` (v)."""
-
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.int32())
-        for b in batches:
-            found = [shingle_set(x.as_py()) for x in b.column(0)]
-            level, at, above = zip(*map(fingerprints, found), strict=True) if found else ((), (), ())
-            cols = [pa.array(map(set_name, found), pa.string()), pa.array(level, pa.int32()), pa.array(at, kind), pa.array(above, kind)]
-            yield pa.RecordBatch.from_arrays(cols, ["v", "level", "at", "above"])
-
-    read = _texts(wanted, reps, docs, id_col, text_col).mapInArrow(sample, "v string, level int, at array<int>, above array<int>")
-    return settle(read.select("v", F.struct("level", "at", "above").alias("prints"))).dropDuplicates(["v"])
+    found = corpus.derived(wanted, fingerprints, {"level": ("int", pa.int32()), "at": INTS_OF, "above": INTS_OF})
+    out = found.select("v", F.struct("level", "at", "above").alias("prints"))
+    out.settled_at = getattr(found, "settled_at", None)
+    return out
 
 
 def _close(a: str, b: str) -> Column:
@@ -202,108 +228,161 @@ def _close(a: str, b: str) -> Column:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """v, root of each vertex of the links (a, b); vertices have equal roots if they are connected.
+    """v, root of each vertex of the links (a, b), settled; vertices have equal roots if they are connected.
 
     Each round, every vertex points to the least of itself and its neighbours,
     pointers are followed four steps, and links are redrawn between where their
-    ends have come. By turns least means by name, which gathers stars at once,
+    ends have come. By turns least means by number, which gathers stars at once,
     and by a hash of the round, which breaks up chains.
     """
     links = settle(links)
-    if links.isEmpty():
-        return links.select(F.col("a").alias("v"), F.col("b").alias("root"))
     roots, turn = None, 0
-    while True:
+    while not links.isEmpty():
         both = links.union(links.select("b", "a"))
         rank = lambda c: F.struct(F.xxhash64(F.lit(turn), c) if turn % 2 else F.lit(0).cast("long"), F.col(c).alias("to"))  # noqa: B023, E731
-        move = both.groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("v"), F.least("m", rank("a"))["to"].alias("to"))
+        one = settle(both.groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("v"), F.least("m", rank("a"))["to"].alias("to")))
+        move = one
         for _ in range(2):
-            move = settle(move)
-            on = move.select(F.col("v").alias("to"), F.col("to").alias("next"))
-            move = move.join(on, "to").select("v", F.col("next").alias("to"))
+            move = move.join(move.select(F.col("v").alias("to"), F.col("to").alias("next")), "to").select("v", F.col("next").alias("to"))
         move = settle(move)
         if roots is None:
-            roots = move.select("v", F.col("to").alias("root"))
+            new = settle(move.select("v", F.col("to").alias("root")))
         else:
             step = move.select(F.col("v").alias("root"), "to")
-            roots = settle(roots.join(step, "root", "left").select("v", F.coalesce("to", "root").alias("root")))
+            new = settle(roots.join(step, "root", "left").select("v", F.coalesce("to", "root").alias("root")))
         a = move.select(F.col("v").alias("a"), F.col("to").alias("ta"))
         b = move.select(F.col("v").alias("b"), F.col("to").alias("tb"))
-        links = links.join(a, "a").join(b, "b").where("ta <> tb").select(F.col("ta").alias("a"), F.col("tb").alias("b")).distinct()
-        links, turn = settle(links), turn + 1
-        if links.isEmpty():
-            return roots
+        left = settle(links.join(a, "a").join(b, "b").where("ta <> tb").select(F.col("ta").alias("a"), F.col("tb").alias("b")).distinct())
+        forget(links, one, move, roots)
+        links, roots, turn = left, new, turn + 1
+    if roots is None:
+        return links.select(F.col("a").alias("v"), F.col("b").alias("root"))
+    forget(links)
+    return roots
 
 
-def _unsettled(rows: DataFrame) -> DataFrame:
-    """Of rows (key, v, root, ...) those whose bucket holds two components or more, with its size n."""
-    several = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
-    return rows.join(several.select("key", "n"), "key")
+def _ends(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """The links (a, b) between different components, with the ends' roots; roots holds the vertices that have a link so far."""
+    for c in "ab":
+        links = links.join(roots.select(F.col("v").alias(c), F.col("root").alias(f"r_{c}")), c, "left").withColumn(f"r_{c}", F.coalesce(f"r_{c}", c))
+    return links.where("r_a <> r_b")
 
 
-def _redrawn(links: DataFrame, roots: DataFrame) -> DataFrame:
-    """The links (a, b) between different components, drawn between the components' roots."""
-    a, b = (roots.select(F.col("v").alias(c), F.col("root").alias(f"r_{c}")) for c in "ab")
-    return links.join(a, "a").join(b, "b").where("r_a <> r_b").select(F.col("r_a").alias("a"), F.col("r_b").alias("b")).distinct()
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots after the confirmed links (a, b) have been added; replaces roots and links."""
+    step = components(_ends(links, roots).select(F.col("r_a").alias("a"), F.col("r_b").alias("b")).distinct())
+    moved = roots.join(step.select(F.col("v").alias("root"), F.col("root").alias("to")), "root", "left").select("v", F.coalesce("to", "root").alias("root"))
+    out = settle(moved.union(step.join(roots, "v", "left_anti").select("v", "root")))
+    forget(step, roots, links)
+    return out
 
 
-def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """roots (v, root of every vertex) after the confirmed links (a, b) have been added."""
-    step = components(_redrawn(links, roots)).select(F.col("v").alias("root"), F.col("root").alias("to"))
-    return settle(roots.join(step, "root", "left").select("v", F.coalesce("to", "root").alias("root")))
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    return rows.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
 
 
-def _apart(links: DataFrame, roots: DataFrame) -> DataFrame:
-    """The links (a, b) whose ends are in different components."""
-    a, b = (roots.select(F.col("v").alias(c), F.col("root").alias(f"r_{c}")) for c in "ab")
-    return links.join(a, "a").join(b, "b").where("r_a <> r_b").select("a", "b")
+def _open(rows: DataFrame) -> DataFrame:
+    """Of rows (key, v, root) those whose key holds two components or more, with most (the component with most rows there) and work.
 
+    Pairs are sought between the rows outside `most` and all rows, so work is
+    their product: a large component and a few others cost little.
+    """
+    each = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    several = each.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    several = several.select("key", F.col("m.root").alias("most"), ((F.col("n") - F.col("m.n")) * F.col("n")).alias("work"))
+    return rows.join(several, "key")
+
+
+def _pairs(rows: DataFrame, alike: Column, *carried: str) -> DataFrame:
+    """Pairs (a, b) between the components of a key; rows: key, v, root, most and what `alike` compares (x of column x for a as x_a)."""
+    x, y = (rows.select("key", F.col("v").alias(c), F.col("root").alias(f"r_{c}"), F.col("most").alias(f"m_{c}"), *[F.col(k).alias(f"{k}_{c}") for k in carried]) for c in "ab")
+    x = x.where("r_a <> m_a")
+    once = (F.col("r_b") == F.col("m_b")) | (F.col("a") < F.col("b"))
+    return x.join(y, "key").where((F.col("r_a") != F.col("r_b")) & once & alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _stars(near: DataFrame, reps: DataFrame) -> DataFrame:
+    """Likely links (a, b, e) of members (key, v, hub) with their bucket's hub, e the estimate."""
+    stars = near.where("v <> hub").select(F.col("v").alias("a"), F.col("hub").alias("b")).distinct()
+    for c in "ab":
+        stars = stars.join(reps.select(F.col("v").alias(c), F.struct("sig", "size").alias(f"sketch_{c}")), c)
+    return settle(stars.where(_likely("sketch_a", "sketch_b")).select("a", "b", estimate(F.col("sketch_a.sig"), F.col("sketch_b.sig")).alias("e")))
+
+
+def _in_buckets(rows: DataFrame, corpus: Corpus) -> DataFrame:
+    """Likely links between the components of each bucket; rows: key, v, root, most."""
+    prints = prints_of(rows.select("v"), corpus)
+    keys = rows.groupBy("v").agg(F.collect_set("key").alias("keys"))
+    carried = corpus.reps.select("v", F.struct("sig", "size").alias("sketch")).join(prints, "v").join(keys, "v")
+    first = F.col("key") == F.array_min(F.array_intersect("keys_a", "keys_b"))  # each pair leaves one of its buckets
+    pairs = _pairs(rows.join(carried, "v"), _likely("sketch_a", "sketch_b") & first & _close("prints_a", "prints_b"), "sketch", "keys", "prints")
+    out = settle(pairs.distinct())
+    forget(prints)
+    return out
 
-def _stars(members: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Likely links (a, b, e) of members (key, v) with their bucket's hub, its least member, e the estimate."""
-    buckets = members.groupBy("key").agg(F.min("v").alias("hub"))
-    stars = members.join(buckets, "key").where("v <> hub").select(F.col("v").alias("a"), F.col("hub").alias("b")).distinct()
-    stars = stars.join(sigs.select(F.col("v").alias("a"), F.col("sketch").alias("s_a")), "a")
-    stars = stars.join(sigs.select(F.col("v").alias("b"), F.col("sketch").alias("s_b")), "b")
-    return settle(stars.where(_likely("s_a", "s_b")).select("a", "b", estimate(F.col("s_a.sig"), F.col("s_b.sig")).alias("e")))
 
+def _by_rare_shingles(rows: DataFrame, corpus: Corpus) -> DataFrame:
+    """Likely links between the components of vertices rows (v, root), however many share a bucket.
 
-def _pairs(rows: DataFrame, once: Column) -> DataFrame:
-    """Likely links (a, b) between the components of a bucket; rows: key, v, root, sketch, prints, keys."""
-    x, y = (rows.select("key", F.col("v").alias(c), F.col("root").alias(f"r_{c}"), *[F.col(k).alias(f"{k[0]}_{c}") for k in ("sketch", "prints", "keys")]) for c in "ab")
-    alike = _likely("s_a", "s_b") & once & _close("p_a", "p_b")
-    return x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("r_a") != F.col("r_b")) & alike).select("a", "b")
+    Two sets of sizes x and y that reach the threshold t share one of the
+    x - ceil(t x) + 1 shingles of the one, and of the y - ceil(t y) + 1 of the
+    other, that come first in any common order. In the order of frequency these
+    are the rare ones, so what thousands of documents share makes no pairs.
+    """
+    sets = full_sets(rows.select("v"), corpus)
+    each = sets.select("v", F.size("set").alias("size"), F.explode("set").alias("key"))
+    common = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = each.join(common, "key").groupBy("v").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", "key"))).alias("shared"))
+    lead = F.col("size") - F.ceil(F.col("size") * PERCENT / 100).cast("int") + 1 - (F.col("size") - F.size("shared"))
+    first = shared.select("v", F.explode(F.slice("shared", 1, F.greatest(lead, F.lit(0)))["key"]).alias("key"))
+    found = settle(_open(_rooted_as(first, rows)).drop("work"))
+    forget(sets)
+    prints = prints_of(found.select("v"), corpus)
+    carried = corpus.reps.select("v", F.struct("sig", "size").alias("sketch")).join(prints, "v")
+    pairs = _pairs(found.join(carried, "v"), _likely("sketch_a", "sketch_b") & _close("prints_a", "prints_b"), "sketch", "prints")
+    out = settle(pairs.distinct())
+    forget(found, prints)
+    return out
+
+
+def _rooted_as(first: DataFrame, rows: DataFrame) -> DataFrame:
+    return first.join(rows.select("v", "root").distinct(), "v")
 
 
-def roots_of(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """v, root of each set; sets that confirmed links connect have equal roots. reps: v, doc_id, keys, sig, size, one row for each set."""
-    sigs = reps.select("v", F.struct("sig", "size").alias("sketch"))
+def roots_of(corpus: Corpus) -> DataFrame:
+    """v, root of each set that has a link, settled; sets that confirmed links connect have equal roots."""
+    reps = corpus.reps
     members = reps.select("v", F.explode("keys").alias("key"))
-    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    near = settle(members.join(buckets, "key"))  # members of buckets that hold more than one set
-    stars = _stars(near, sigs)
+    hubs = members.groupBy("key").agg(F.min("v").alias("hub"), F.max("v").alias("last")).where("hub < last").select("key", "hub")
+    near = settle(members.join(hubs, "key"))  # members of buckets that hold more than one set
+    stars = _stars(near, reps)
     # Of the hubs that are almost surely linked the least, so that a group gathers at one; else the likeliest.
     sure = F.col("e") >= PERCENT / 100 + MARGIN / 5
     rank = F.struct(F.when(sure, F.lit(-1.0)).otherwise(-F.col("e")), "b")
     best = settle(stars.groupBy("a").agg(F.min(rank)["b"].alias("b")))
-    roots = _joined(reps.select("v", F.col("v").alias("root")), confirmed(best, reps, docs, id_col, text_col))
-    others = settle(_apart(stars.join(best, ["a", "b"], "left_anti"), roots))
-    roots = _joined(roots, confirmed(others, reps, docs, id_col, text_col))
-
-    open_ = settle(_unsettled(near.join(roots, "v")))
-    prints = samples(open_.select("v"), reps, docs, id_col, text_col)
-    carried = reps.select("v", F.struct("sig", "size").alias("sketch"), F.col("keys").alias("all")).join(prints, "v")
-    big = open_.where(F.col("n") >= SPLIT_FROM).join(carried, "v")
-    second = F.transform(F.array_remove("all", F.col("key")), lambda k: F.xxhash64(F.greatest("key", k), F.least("key", k)))
-    big = big.withColumn("key", F.explode(F.array_distinct(second))).select("key", "v", "root", "sketch", "prints", F.lit(None).alias("keys"))
-    small = open_.where(F.col("n") < SPLIT_FROM)
-    keys = small.groupBy("v").agg(F.collect_set("key").alias("keys"))
-    small = small.join(keys, "v").join(carried, "v").select("key", "v", "root", "sketch", "prints", "keys")
-    pairs = _pairs(small, (F.col("key") == F.array_min(F.array_intersect("k_a", "k_b"))))  # each pair leaves one of its buckets
-    if not big.isEmpty():
-        pairs = pairs.union(_pairs(big, F.lit(True)))
-    rest = settle(pairs.distinct())
-    return _joined(roots, confirmed(rest, reps, docs, id_col, text_col))
+    none = reps.select("v", F.col("v").alias("root")).where(F.lit(False))
+    roots = _joined(none, confirmed(best, corpus))
+    others = settle(_ends(stars.join(best, ["a", "b"], "left_anti").select("a", "b"), roots).select("a", "b"))
+    forget(stars, best)
+    roots = _joined(roots, confirmed(others, corpus))
+    forget(others)
+
+    open_ = settle(_open(_rooted(near.select("key", "v"), roots)))
+    forget(near)
+    for rows, find in ((open_.where(F.col("work") < HOT_WORK).drop("work"), _in_buckets), (open_.where(F.col("work") >= HOT_WORK).select("v", "root").distinct(), _by_rare_shingles)):
+        if not rows.isEmpty():
+            pairs = find(rows, corpus)
+            roots = _joined(roots, confirmed(pairs, corpus))
+            forget(pairs)
+    forget(open_)
+    return roots
+
+
+def _corpus(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, *order: str) -> Corpus:
+    """rows is what sketches gives; of equal sets the first by `order` gives the vertex."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *order, "row"))
+    reps = rows.where("name is not null").groupBy("name").agg(first.alias("f"), F.first("keys").alias("keys"), F.first("sig").alias("sig"), F.first("n_shingles").alias("size"))
+    return Corpus(docs, id_col, text_col, settle(reps.select(F.col("f.row").alias("v"), "name", F.col("f.doc_id").alias("doc_id"), *[f"f.{c}" for c in order], "keys", "sig", "size")))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -315,16 +394,24 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     passed over when the smallest id is sought. An empty table gives no rows.
     """
     rows = settle(sketches(docs, id_col, text_col))
-    full = rows.where("v is not null")
-    reps = settle(full.groupBy("v").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("sig").alias("sig"), F.first("n_shingles").alias("size")))
-    found = reps.select("v", "doc_id").join(roots_of(reps, docs, id_col, text_col), "v")
+    corpus = _corpus(rows, docs, id_col, text_col)
+    rows = _slim(rows, "doc_id", "n_shingles", "name")
+    found = _rooted(corpus.reps.select("v", "name", "doc_id"), roots := roots_of(corpus))
     least = found.groupBy("root").agg(F.min("doc_id").alias("component"))
-    found = found.join(least, "root").select(F.col("v").alias("_v"), "component")
-    out = rows.select("doc_id", "n_shingles", "v").join(found, F.col("v") == F.col("_v"), "left")
-    component = F.when(F.col("_v").isNull(), F.col("doc_id")).otherwise(F.col("component"))
+    found = settle(found.join(least, "root").select(F.col("name").alias("_name"), "component"))
+    forget(roots, corpus.reps)
+    out = rows.join(found, F.col("name") == F.col("_name"), "left")
+    component = F.when(F.col("_name").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def _slim(rows: DataFrame, *names: str) -> DataFrame:
+    """Some columns of a settled table, which go on in its place."""
+    out = settle(rows.select(*names))
+    forget(rows)
+    return out
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that are left when each component of near duplicates keeps one, with their columns.
 
@@ -334,22 +421,22 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     and text) one. Documents without words all stay.
     """
     rows = settle(sketches(docs, id_col, text_col, digest=True))
-    full = rows.where("v is not null")
+    corpus = _corpus(rows, docs, id_col, text_col, "digest")
+    rows = _slim(rows.where("name is not null"), "doc_id", "digest", "name")
+    found = _rooted(corpus.reps.select("v", "name", "doc_id", "digest"), roots := roots_of(corpus))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
-    reps = settle(full.groupBy("v").agg(F.min(order).alias("first"), F.first("keys").alias("keys"), F.first("sig").alias("sig"), F.first("n_shingles").alias("size")))
-    reps = reps.withColumn("doc_id", F.col("first.doc_id"))
-    found = reps.select("v", "first").join(roots_of(reps.drop("first"), docs, id_col, text_col), "v")
+    found = found.select("name", "root", order.alias("first"))
     least = found.groupBy("root").agg(F.min("first").alias("first"))
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
-    read = full.select("v", "doc_id", "digest").join(found.drop("first").join(least, "root").select("v", "first"), "v")
+    read = rows.join(found.drop("first").join(least, "root").select("name", "first"), "name")
     verdicts = settle(read.select("doc_id", "digest", stays.alias("stays")))
-    gone = verdicts.where(~F.col("stays")).select("doc_id", "digest").distinct()
-    names = docs.columns
-    docs = docs.withColumn("_digest", _digest(text_col))
-    these = lambda rows: docs[id_col].cast("long").eqNullSafe(rows["doc_id"]) & (docs["_digest"] == rows["digest"])
-    repeated = settle(verdicts.where("stays").groupBy("doc_id", "digest").count().where("count > 1"))
+    forget(rows, roots, corpus.reps)
+    gone = verdicts.where(~F.col("stays")).select(F.col("doc_id").alias("g_id"), F.col("digest").alias("g_digest")).distinct()
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), _digest(text_col).alias("digest"))
+    these = lambda x: F.col("id").eqNullSafe(x["g_id"]) & (F.col("digest") == x["g_digest"])
+    repeated = settle(verdicts.where("stays").groupBy(F.col("doc_id").alias("g_id"), F.col("digest").alias("g_digest")).count().where("count > 1").drop("count"))
     if repeated.isEmpty():
-        return docs.join(gone, these(gone), "left_anti").select(*names)
-    others = gone.unionByName(repeated.select("doc_id", "digest"))
-    once = docs.join(repeated, these(repeated), "left_semi").dropDuplicates([id_col, "_digest"])
-    return docs.join(others, these(others), "left_anti").unionByName(once).select(*names)
+        return row.join(gone, these(gone), "left_anti").select("row.*")
+    others = gone.unionByName(repeated)
+    once = row.join(repeated, these(repeated), "left_semi").groupBy("id", "digest").agg(F.first("row").alias("row"))
+    return row.join(others, these(others), "left_anti").select("row").unionByName(once.select("row")).select("row.*")

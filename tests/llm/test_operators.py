@@ -266,10 +266,10 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, sf).count() > 0
 
 
-@pytest.mark.parametrize("split_from", [2000, 2])
-def test_near_variants(spark, monkeypatch, split_from):
-    """Groups around the threshold, with few and with many words, against all pairs; once with every bucket split."""
-    monkeypatch.setattr(near_dedup, "SPLIT_FROM", split_from)
+@pytest.mark.parametrize("hot_work", [1_000_000, 1])
+def test_near_variants(spark, monkeypatch, hot_work):
+    """Groups around the threshold, with few and with many words, against all pairs; once with every bucket joined by rare shingles."""
+    monkeypatch.setattr(near_dedup, "HOT_WORK", hot_work)
     rng, rows = np.random.default_rng(5), []
     for n in (60, 150, 1400):
         base = [f"w{n}x{i}" for i in range(n)]
