@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,16 +15,39 @@ EMAIL = (
 OBFUSCATED = (
     r"\b([A-Za-z0-9._%+-]+)\s*(?:\[at\]|\(at\)|\[@\]|\bAT\b)\s*([A-Za-z0-9.-]+)\s*(?:\[dot\]|\(dot\)|\[\.\]|\bDOT\b)\s*([A-Za-z]{2,24})\b"
 )
-NOT_TLD = (
-    "png jpg jpeg gif svg webp bmp ico js css woff woff2 ttf eot mp3 mp4 webm zip tar gz "
-    "when great post we at to in on for with by from about this that it they"
-).split()
+NOT_TLD = [
+    "png", "jpg", "jpeg", "gif", "svg", "webp", "bmp", "ico", "js", "css", "woff", "woff2", "ttf", "eot", "mp3", "mp4", "webm", "zip", "tar", "gz",
+    "when", "great", "post", "we", "at", "to", "in", "on", "for", "with", "by", "from", "about", "this", "that", "it", "they",
+]
 REGIONS = {"uk": "GB", "us": "US", "ca": "CA", "in": "IN", "au": "AU", "de": "DE", "fr": "FR", "es": "ES", "it": "IT", "nl": "NL", "br": "BR", "jp": "JP"}
 PROFILE = r"(?i)(?:https?://)?(?:[a-zA-Z0-9-]+\.)*linkedin\.com/(in|company|school|showcase)/([a-zA-Z0-9\-_%]+)/?"
-NO_PROFILE = (
-    "sharing sharearticle share-offsite login signup feed jobs learning help legal pulse posts newsletters events search "
-    "checkpoint notifications messaging groups pub in company school"
-).split()
+NO_PROFILE = [
+    "sharing", "sharearticle", "share-offsite", "login", "signup", "feed", "jobs", "learning", "help", "legal", "pulse", "posts", "newsletters",
+    "events", "search", "checkpoint", "notifications", "messaging", "groups", "pub", "in", "company", "school",
+]
+# Calling code, its main region, the prefix that national numbers are dialled with, their least and greatest length without it.
+PLANS = [
+    ("1", "US", "1", 10, 10), ("7", "RU", "8", 10, 10), ("20", "EG", "0", 8, 10), ("27", "ZA", "0", 9, 9), ("30", "GR", "", 10, 10),
+    ("31", "NL", "0", 9, 9), ("32", "BE", "0", 8, 9), ("33", "FR", "0", 9, 9), ("34", "ES", "", 9, 9), ("36", "HU", "06", 8, 9),
+    ("39", "IT", "", 6, 11), ("40", "RO", "0", 9, 9), ("41", "CH", "0", 9, 9), ("43", "AT", "0", 7, 13), ("44", "GB", "0", 9, 10),
+    ("45", "DK", "", 8, 8), ("46", "SE", "0", 7, 10), ("47", "NO", "", 8, 8), ("48", "PL", "", 9, 9), ("49", "DE", "0", 7, 12),
+    ("51", "PE", "0", 8, 9), ("52", "MX", "", 10, 10), ("54", "AR", "0", 10, 11), ("55", "BR", "0", 10, 11), ("56", "CL", "", 9, 9),
+    ("57", "CO", "", 10, 10), ("60", "MY", "0", 8, 10), ("61", "AU", "0", 9, 9), ("62", "ID", "0", 8, 12), ("63", "PH", "0", 8, 10),
+    ("64", "NZ", "0", 8, 10), ("65", "SG", "", 8, 8), ("66", "TH", "0", 8, 9), ("81", "JP", "0", 9, 10), ("82", "KR", "0", 8, 10),
+    ("84", "VN", "0", 9, 10), ("86", "CN", "0", 10, 11), ("90", "TR", "0", 10, 10), ("91", "IN", "0", 10, 10), ("92", "PK", "0", 9, 10),
+    ("98", "IR", "0", 10, 10), ("212", "MA", "0", 9, 9), ("234", "NG", "0", 8, 10), ("254", "KE", "0", 9, 9), ("351", "PT", "", 9, 9),
+    ("352", "LU", "", 6, 9), ("353", "IE", "0", 7, 9), ("354", "IS", "", 7, 7), ("358", "FI", "0", 6, 10), ("359", "BG", "0", 8, 9),
+    ("370", "LT", "0", 8, 8), ("371", "LV", "", 8, 8), ("372", "EE", "", 7, 8), ("380", "UA", "0", 9, 9), ("385", "HR", "0", 8, 9),
+    ("386", "SI", "0", 8, 8), ("420", "CZ", "", 9, 9), ("421", "SK", "0", 9, 9), ("852", "HK", "", 8, 8), ("886", "TW", "0", 8, 9),
+    ("966", "SA", "0", 8, 9), ("971", "AE", "0", 8, 9), ("972", "IL", "0", 8, 9),
+]
+# Canadian area codes, and digits of a number without its area code, which counts as possible there.
+CANADA = [
+    "204", "226", "236", "249", "250", "257", "263", "289", "306", "343", "354", "365", "367", "368", "382", "387", "403", "416", "418", "428",
+    "431", "437", "438", "450", "460", "468", "474", "506", "514", "519", "537", "548", "568", "579", "581", "584", "587", "600", "604", "613",
+    "639", "647", "672", "683", "705", "709", "742", "753", "767", "778", "780", "782", "807", "819", "825", "867", "873", "879", "902", "905",
+]
+LOCAL = 7
 #: A number that may be a phone number: digits with the usual marks between them.
 PHONE = r"\+?\(?[0-9][0-9 ().-]{5,18}[0-9]"
 
@@ -76,21 +101,63 @@ def region(host: Column) -> Column:
     return F.coalesce(F.try_element_at(table, F.lower(F.substring_index(host, ".", -1))), F.lit("US"))
 
 
-def phone_e164(raw: Column, host: Column) -> Column:
-    """A declared subset of numbering: + and 8 to 15 digits as they are; 10 digits, or 11 that start with 1, as +1 where the default region is US or CA; else null."""
-    digits = F.regexp_replace(raw, "[^0-9]", "")
-    n = F.length(digits)
-    home = region(host).isin("US", "CA")
-    return (
-        F.when(raw.rlike(r"^\s*\+") & n.between(8, 15), F.concat(F.lit("+"), digits))
-        .when(home & (n == 10), F.concat(F.lit("+1"), digits))
-        .when(home & (n == 11) & digits.startswith("1"), F.concat(F.lit("+"), digits))
-    )
-
-
-def phone_valid(e164: Column) -> Column:
-    """Of +1 numbers: area and exchange start with 2 to 9; others are taken as valid."""
-    return F.when(e164.startswith("+1"), e164.rlike(r"^\+1[2-9][0-9]{2}[2-9][0-9]{6}$")).otherwise(e164.isNotNull())
+def _bound(value: Column, then) -> Column:
+    """then(value) with the value computed once, however often `then` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _plan(key: Column, by: int) -> Column:
+    """The numbering plan of a calling code (by = 0) or region (by = 1): struct(code, region, trunk, lo, hi), else null."""
+    table = {p[by]: dict(zip(("code", "region", "trunk", "lo", "hi"), p)) for p in PLANS}
+    if by:
+        table["CA"] = table["US"]
+    return F.try_element_at(F.from_json(F.lit(json.dumps(table)), "map<string, struct<code: string, region: string, trunk: string, lo: int, hi: int>>"), key)
+
+
+def phone(raw: Column, host: Column) -> Column:
+    """struct(e164, valid, country) of a number, or null if it is no possible one.
+
+    A declared subset of numbering: PLANS by length. A number that starts with +
+    (or 011 or 00, as dialled from the default region of the host) has a calling
+    code; others are national numbers of the default region, with its trunk
+    prefix or without. A code that PLANS lacks is taken as it is, with 8 to 15
+    digits. Valid are numbers of a full length that start as their plan's do.
+    """
+
+    def read(x):
+        digits, home = x["digits"], x["home"]
+        north = home.isin("US", "CA")
+        abroad = F.when(x["plus"], digits).when(north & digits.startswith("011"), F.substring(digits, 4, 20)).when(~north & digits.startswith("00"), F.substring(digits, 3, 20))
+        return F.struct(digits.alias("digits"), home.alias("home"), abroad.alias("abroad"))
+
+    def planned(x):
+        abroad = x["abroad"]
+        plan = F.when(abroad.isNull(), _plan(x["home"], 1)).otherwise(F.coalesce(*[_plan(F.substring(abroad, 1, k), 0) for k in (3, 2, 1)]))
+        return F.struct(x["digits"].alias("digits"), x["home"].alias("home"), abroad.alias("abroad"), plan.alias("p"))
+
+    def cut(x):
+        p, abroad = x["p"], x["abroad"]
+        rest = F.when(abroad.isNull(), x["digits"]).otherwise(F.substring(abroad, F.length(p["code"]) + 1, F.lit(20)))
+        keep = lambda r: F.when((p["trunk"] != "") & r.startswith(p["trunk"]) & (F.length(r) - F.length(p["trunk"])).between(p["lo"], p["hi"]), F.substring(r, F.length(p["trunk"]) + 1, F.lit(20))).otherwise(r)
+        return F.struct(x["home"].alias("home"), abroad.alias("abroad"), p.alias("p"), _bound(rest, keep).alias("national"))
+
+    def judged(x):
+        p, national, abroad = x["p"], x["national"], x["abroad"]
+        full = F.length(national).between(p["lo"], p["hi"])
+        starts = F.when(p["code"] == "1", national.rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$")).otherwise((p["region"] == "IT") | ~national.startswith("0"))
+        possible = full | (abroad.isNull() & (p["code"] == "1") & (F.length(national) == LOCAL))
+        return F.struct(x["home"].alias("home"), abroad.alias("abroad"), p.alias("p"), national.alias("national"), possible.alias("possible"), (full & starts).alias("valid"))
+
+    def told(x):
+        p, national, valid = x["p"], x["national"], x["valid"]
+        north = F.when(~valid, x["home"]).when(F.substring(national, 1, 3).isin(CANADA), "CA").otherwise("US")
+        country = F.when(p["code"] == "1", north).when(valid, p["region"])
+        known = F.struct(F.concat(F.lit("+"), p["code"], national).alias("e164"), valid.alias("valid"), country.alias("country"))
+        other = F.struct(F.concat(F.lit("+"), x["abroad"]).alias("e164"), F.lit(True).alias("valid"), F.lit(None).cast("string").alias("country"))
+        return F.when(p.isNull(), F.when(F.length(x["abroad"]).between(8, 15), other)).when(x["possible"], known)
+
+    given = F.struct(F.regexp_replace(raw, "[^0-9]", "").alias("digits"), region(host).alias("home"), raw.rlike(r"^\s*\(?\+").alias("plus"))
+    return _bound(given, lambda a: _bound(read(a), lambda b: _bound(planned(b), lambda c: _bound(cut(c), lambda d: _bound(judged(d), told)))))
 
 
 def phone_confidence(source: Column, plus: Column, valid: Column, contact_page: Column) -> Column:

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from . import urls as U
 
 # Elements whose content is no text, elements that mark a node's place, elements without an end tag.
 DROPPED = {"script", "style", "noscript", "svg", "canvas", "iframe", "template"}
@@ -17,12 +22,25 @@ SCHEMES = {"mailto": "email", "tel": "phone"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 
 
+@F.pandas_udf(StringType())
+def unescaped(text: pd.Series) -> pd.Series:
+    """Character references resolved; null stays null."""
+    return text.map(unescape, na_action="ignore")
+
+
+def _plain(text: Column) -> Column:
+    """unescaped, but only texts with a reference are sent to Python."""
+    return F.coalesce(unescaped(F.when(F.contains(text, F.lit("&")), text)), text)
+
+
 def title(html: Column) -> Column:
-    """The first title's text; where it is absent or empty, the first h1's text. Null if neither has any."""
+    """The first title's text, stripped; where there is none, or it is empty or holds elements, the first h1's pieces, each stripped. Null without either."""
+    strip = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
     first = F.regexp_extract(html, r"(?is)<title\b[^>]*>([^<]*)</title\s*>", 1)
-    head = F.regexp_replace(F.regexp_extract(html, r"(?is)<h1\b[^>]*>(.*?)</h1\s*>", 1), r"(?s)<[^>]*>", "")
-    tidy = lambda x: F.nullif(F.regexp_replace(x, r"^\s+|\s+$", ""), F.lit(""))
-    return F.coalesce(tidy(first), tidy(head))
+    h1 = r"(?is)<h1\b[^>]*>(.*?)</h1\s*>"
+    pieces = F.transform(F.split(F.regexp_replace(F.regexp_extract(html, h1, 1), r"(?s)<!--.*?-->", "<>"), r"(?s)<[^>]*>"), strip)
+    head = F.when(html.rlike(h1), F.array_join(pieces, ""))
+    return strip(_plain(F.when(first != "", first).otherwise(head)))
 
 
 def cleaned(html: Column) -> Column:
@@ -134,21 +152,42 @@ def pieces(pages: DataFrame) -> DataFrame:
 
 
 def raw_links(pages: DataFrame) -> DataFrame:
-    """page_id, pos, kind, href (resolved against the page's url); the canonical link comes first."""
+    """page_id, url, canonical, anchors (in document order) of each page; hrefs are resolved against the page's requested url."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def seen(base, href):
+            try:
+                return urljoin(base or "", href.strip())
+            except ValueError:
+                return None
+
         for b in batches:
-            out = []
-            for p, u, h in zip(*(b.column(i).to_pylist() for i in range(3))):
+            first, anchors = [], []
+            for u, h in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 links = _walk(h).links
-                links = [x for x in links if x[0] == "canonical"][:1] + [x for x in links if x[0] == "anchor"]
-                for i, (kind, href) in enumerate(links):
-                    try:
-                        out.append((p, i, kind, urljoin(u or "", href.strip())))
-                    except ValueError:
-                        continue
-            cols = zip(*out) if out else [[]] * 4
-            types = (pa.int64(), pa.int32(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], ["page_id", "pos", "kind", "href"])
-
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, pos int, kind string, href string")
+                first.append(next((seen(u, x) for kind, x in links if kind == "canonical"), None))
+                anchors.append([y for kind, x in links if kind == "anchor" and x.strip() and (y := seen(u, x))])
+            cols = [b.column(0), b.column(1), pa.array(first, pa.string()), pa.array(anchors, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(cols, ["page_id", "url", "canonical", "anchors"])
+
+    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, canonical string, anchors array<string>")
+
+
+def links(pages: DataFrame, allowed: list[str] | None = None, subdomains: bool = True, external: bool = False, most: int = 200) -> DataFrame:
+    """page_id, url, kind, priority, rank of the links that a crawl would follow from each page.
+
+    In scope are the domains `allowed` (the page's own without a list) and, with
+    subdomains, those below; with external every link. The canonical link comes
+    first, 10 above its priority, then anchors; of equal ones the first counts.
+    The first `most` in that order are ranked by priority. All of a page's links
+    stay in its row until they are ranked, so nothing is shuffled.
+    """
+    scope = F.array(U.domain(F.col("url"))) if allowed is None else allowed
+    usable = lambda u: u.isNotNull() & U.crawlable(u) & (F.lit(True) if external else U.same_domain(u, scope, subdomains))
+    found = raw_links(pages).withColumn("first", U.normalized(F.col("canonical")))
+    urls = F.filter(F.concat(F.array("first"), F.transform("anchors", U.normalized)), usable)
+    found = found.select("page_id", "first", F.slice(F.array_distinct(urls), 1, most).alias("urls"))
+    item = lambda u, i: F.struct((-U.priority(u) - F.when(u.eqNullSafe(F.col("first")), 10).otherwise(0)).alias("p"), i.alias("i"), u.alias("u"))
+    ranked = found.select("page_id", "first", F.posexplode(F.sort_array(F.transform("urls", item))).alias("at", "x"))
+    kind = F.when(F.col("x.u").eqNullSafe(F.col("first")), "canonical").otherwise("anchor")
+    return ranked.select("page_id", F.col("x.u").alias("url"), kind.alias("kind"), (-F.col("x.p")).alias("priority"), (F.col("at") + 1).alias("rank"))

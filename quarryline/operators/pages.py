@@ -37,25 +37,24 @@ def page_contacts(pages: DataFrame) -> DataFrame:
     """
     rows = H.pieces(pages).select("page_id", "url", "pos", F.col("type").isNotNull().alias("anchor"), "text", "source_type", "context", F.posexplode(_matches()).alias("nth", "m"))
     kind, raw, host, source = F.col("m.type"), F.col("m.raw"), U.domain(F.col("url")), F.col("source_type")
-    e164, profile, contact = C.phone_e164(raw, host), C.profile(raw), U.contact_page(F.col("url"))
-    false = ~F.col("anchor") & C.phone_false_positive(raw)
+    rows = rows.withColumn("phone", F.when(kind == "phone", C.phone(raw, host)))
+    number, profile, contact = F.col("phone"), C.profile(raw), U.contact_page(F.col("url"))
     normalized = (
         F.when((kind == "email") & C.email_valid(F.lower(F.col("m.email"))), F.lower(F.col("m.email")))
-        .when((kind == "phone") & ~false, e164)
+        .when((kind == "phone") & ~C.phone_false_positive(raw), number["e164"])
         .when(kind == "linkedin", profile["normalized"])
     )
     value = F.when((kind == "email") & F.col("anchor"), F.col("m.email")).when(kind == "linkedin", profile["clean"]).otherwise(raw)
     origin = F.when(F.col("m.pattern") == 1, F.lit("obfuscated")).otherwise(source)
     confidence = (
         F.when(kind == "email", C.email_confidence(origin, contact))
-        .when(kind == "phone", C.phone_confidence(source, raw.startswith("+"), C.phone_valid(e164), contact))
+        .when(kind == "phone", C.phone_confidence(source, raw.startswith("+"), number["valid"], contact))
         .otherwise(C.profile_confidence(source, contact))
     )
-    country = F.when((kind == "phone") & e164.startswith("+1"), C.region(host))
     context = F.coalesce("context", C.context(F.col("text"), raw))
     out = rows.select(
         "page_id", "anchor", "pos", F.col("m.pattern").alias("pattern"), "nth", kind.alias("type"), value.alias("value"), normalized.alias("normalized_value"),
-        country.alias("country"), confidence.alias("confidence"), "source_type", context.alias("context"),
+        number["country"].alias("country"), confidence.alias("confidence"), "source_type", context.alias("context"),
     ).where("normalized_value is not null")
     first = F.row_number().over(Window.partitionBy("page_id", "type", "normalized_value").orderBy("pos", "pattern", "nth"))
     out = out.withColumn("first", first).where("first = 1 or (type = 'email' and anchor)")
@@ -67,28 +66,30 @@ TEXT_HOST = "example.com"
 
 
 def text_contacts(docs: DataFrame) -> DataFrame:
-    """type, value, normalized_value, country, confidence, job, page, doc_id, pattern, nth of all that the patterns find in each whole text.
+    """type, value, normalized_value, country, confidence, source_type, context, job, page, doc_id, pattern, nth of all that the patterns find in each whole text.
 
     Emails, obfuscated emails, phone numbers and profiles, as in a text node of
     a page's body. Each place counts; null or empty texts have no contacts.
     """
     rows = docs.select("doc_id", "source", "text", F.lit(None).cast("string").alias("type"))
-    rows = rows.select("doc_id", "source", F.posexplode(_matches()).alias("nth", "m"))
+    rows = rows.select("doc_id", "source", "text", F.posexplode(_matches()).alias("nth", "m"))
     kind, raw, host, source, contact = F.col("m.type"), F.col("m.raw"), F.lit(TEXT_HOST), F.lit("body"), F.lit(False)
-    e164, profile, email = C.phone_e164(raw, host), C.profile(raw), F.lower(F.col("m.email"))
+    rows = rows.withColumn("phone", F.when(kind == "phone", C.phone(raw, host)))
+    number, profile, email = F.col("phone"), C.profile(raw), F.lower(F.col("m.email"))
     normalized = (
         F.when((kind == "email") & C.email_valid(email), email)
-        .when((kind == "phone") & ~C.phone_false_positive(raw), e164)
+        .when((kind == "phone") & ~C.phone_false_positive(raw), number["e164"])
         .when(kind == "linkedin", profile["normalized"])
     )
     origin = F.when(F.col("m.pattern") == 1, F.lit("obfuscated")).otherwise(source)
     confidence = (
         F.when(kind == "email", C.email_confidence(origin, contact))
-        .when(kind == "phone", C.phone_confidence(source, raw.startswith("+"), C.phone_valid(e164), contact))
+        .when(kind == "phone", C.phone_confidence(source, raw.startswith("+"), number["valid"], contact))
         .otherwise(C.profile_confidence(source, contact))
     )
+    value = F.when(kind == "linkedin", profile["clean"]).otherwise(raw)
     return rows.select(
-        kind.alias("type"), F.when(kind == "linkedin", profile["clean"]).otherwise(raw).alias("value"), normalized.alias("normalized_value"),
-        F.when((kind == "phone") & e164.startswith("+1"), C.region(host)).alias("country"), confidence.alias("confidence"),
+        kind.alias("type"), value.alias("value"), normalized.alias("normalized_value"), number["country"].alias("country"), confidence.alias("confidence"),
+        source.alias("source_type"), C.context(F.col("text"), raw).alias("context"),
         F.col("source").alias("job"), F.col("doc_id").cast("string").alias("page"), "doc_id", F.col("m.pattern").alias("pattern"), "nth",
     ).where("normalized_value is not null")

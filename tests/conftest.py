@@ -11,7 +11,7 @@ os.environ["PYTHONPATH"] = os.pathsep.join([sys.path[0], os.environ.get("PYTHONP
 def spark():
     from quarryline.session import build_session
 
-    session = build_session("tests", cpus=8, memory="6g", partitions=8)
+    session = build_session("tests", cpus=int(os.environ.get("TEST_CPUS", "8")), memory="6g", partitions=8)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

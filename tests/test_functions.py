@@ -5,7 +5,7 @@ from quarryline.functions import contacts as C
 from quarryline.functions import html as H
 from quarryline.functions import urls as U
 from quarryline.operators import contacts as O
-from quarryline.operators import policy as P
+from quarryline.operators import addresses, fetch, frontier, jobs, robots
 
 
 def one(spark, make, *args):
@@ -18,7 +18,8 @@ def one(spark, make, *args):
     [
         ("HTTP://Ex.org:80//a//b/?utm_source=x&b=2&a=1#f", "http://ex.org/a/b?a=1&b=2"),
         ("https://ex.org:443", "https://ex.org/"), ("mailto:a@b.c", None), ("https://ex.org/a;x=1?q=&z", "https://ex.org/a"),
-        ("https://ex.org/?q=a b", "https://ex.org/?q=a+b"),
+        ("https://ex.org/?q=a b", "https://ex.org/?q=a+b"), ("https://ex.org/?a=%zz&b=1", "https://ex.org/?a=%25zz&b=1"), ("https://ex.org/?a=100%&t=~*", "https://ex.org/?a=100%25&t=~%2A"),
+        (None, None), ("", None), ("https://", None),
     ],
 )
 def test_normalized(spark, url, want):
@@ -52,7 +53,24 @@ def test_nodes_and_links(spark):
     pages = spark.createDataFrame([(1, "https://x.org/a/b", page), (2, None, None)], "page_id long, url string, html string")
     got = [(r.text, r.source_type) for r in H.text_nodes(pages).orderBy("pos").collect()]
     assert got == [("T", "body"), ("h@x.org", "header"), ("a", "body"), ("c@x.org", "body"), ("go", "body"), ("ad", "address")]
-    assert [r.href for r in H.raw_links(pages).collect()] == ["https://x.org/contact"]
+    assert [(r.canonical, r.anchors) for r in H.raw_links(pages).orderBy("page_id").collect()] == [(None, ["https://x.org/contact"]), (None, [])]
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ("<title> Tom &amp; Jerry&nbsp;</title>", "Tom & Jerry"), ("<title></title><h1> a <b> b </b>&lt;c</h1>", "ab<c"), ("<title>x<b>y</b></title><h1>z</h1>", "z"), ("<p>none</p>", None),
+        ("<TITLE lang='x'>&#233;</TITLE>", "\u00e9"), (None, None), ("<title> </title><h1>h</h1>", ""),
+    ],
+)
+def test_title(spark, html, want):
+    assert one(spark, H.title, html) == want
+
+
+def test_link_cap(spark):
+    page = "".join(f"<a href='/p{i}'>x</a>" for i in range(300)) + "<a href='/contact'>late</a>"
+    got = H.links(spark.createDataFrame([(1, "https://x.org/", page)], "page_id long, url string, html string")).collect()
+    assert [r.url for r in sorted(got, key=lambda r: r.rank)] == [f"https://x.org/p{i}" for i in range(200)]
 
 
 def test_dedup(spark):
@@ -64,15 +82,107 @@ def test_dedup(spark):
 
 def test_schedule(spark):
     rows = spark.createDataFrame([(1, 0.0), (1, 1.0), (1, 9.0)], "k int, at double")
-    assert [r.start for r in P.schedule(rows, "k", F.col("at"), ["at"], 2.0).orderBy("at").collect()] == [0.0, 2.0, 9.0]
+    assert [r.start for r in frontier.schedule(rows, "k", F.col("at"), ["at"], 2.0).orderBy("at").collect()] == [0.0, 2.0, 9.0]
 
 
 def test_crawl_ends(spark):
     links = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c")], "src string, dst string")
-    got = P.crawl(spark.createDataFrame([("a",)], "url string"), links, 5)
+    got = frontier.crawl(spark.createDataFrame([("a",)], "url string"), links, 5)
     assert sorted((r.url, r.depth) for r in got.collect()) == [("a", 0), ("b", 1), ("c", 2)]
 
 
+def queue_order(starts, links, most, deepest):
+    """What a crawl with one worker visits, by a plain queue that is searched each time."""
+    queue, known, seen, n = [], set(), [], 0
+    for url, depth, priority in starts:
+        if url not in known:
+            known.add(url)
+            queue.append((priority, n, url, depth))
+            n += 1
+    while queue and len(seen) < most:
+        best = min(queue, key=lambda q: (-q[0], q[1]))
+        queue.remove(best)
+        seen.append((best[2], best[3]))
+        if best[3] < deepest and len(seen) + len(queue) < most:
+            mine = sorted((x for x in links if x[0] == best[2]), key=lambda x: x[3])
+            for _, dst, priority, _ in sorted(mine, key=lambda x: -x[2]):
+                if dst not in known:
+                    known.add(dst)
+                    queue.append((priority, n, dst, best[3] + 1))
+                    n += 1
+    return seen
+
+
+def test_simulated_queue(spark):
+    import random
+
+    rng = random.Random(4)
+    links = [(f"/{rng.randrange(40)}", f"/{rng.randrange(40)}", rng.choice([40, 50, 100]), i) for i in range(160)]
+    starts = frontier.seeds(
+        spark.createDataFrame([("a", "/0"), ("b", "/1")], "job string, url string"), spark.createDataFrame([("a", "/7", 2), ("a", "/0", 1), ("a", "/9", 3), ("a", "/7", 4)], "job string, url string, seq int")
+    )
+    assert sorted((r.job, r.url, r.depth, r.priority) for r in starts.collect()) == [("a", "/0", 0, 100), ("a", "/7", 1, 50), ("a", "/9", 1, 50), ("b", "/1", 0, 100)]
+    edges = spark.createDataFrame([(j, *x) for j in "ab" for x in links], "job string, src string, dst string, priority int, pos int")
+    jobs_ = spark.createDataFrame([("a", 25, 3), ("b", 1000, 2)], "job string, max_pages int, max_depth int")
+    got = frontier.simulate(jobs_, starts, edges).orderBy("job", "nth").collect()
+    assert [(r.url, r.depth) for r in got if r.job == "a"] == queue_order([("/7", 1, 50), ("/9", 1, 50), ("/0", 0, 100)], links, 25, 3)
+    assert [(r.url, r.depth) for r in got if r.job == "b"] == queue_order([("/1", 0, 100)], links, 1000, 2)
+
+
+def test_robots_odd(spark):
+    """Nulls, empty files, every kind of line end, and a colon-less line between two agents."""
+    rows = [("a", "User-agent: x\r\nnonsense\rUSER-AGENT : y\nDisallow:/p\u2028Disallow: /q"), ("b", None), ("c", "")]
+    got = robots.parse(spark.createDataFrame(rows, "domain string, content string"))
+    assert sorted((r.domain, r.grp, r.agent) for r in got.groups.collect()) == [("a", 0, "x"), ("a", 0, "y")]
+    assert sorted((r.grp, r.allow, r.pattern) for r in got.rules.collect()) == [(0, False, "/p"), (0, False, "/q")]
+    checks = [(1, "a", "X", "https://a/p%C3%A9"), (2, "a", "Z", "https://a/p"), (3, "b", "x", "https://b/"), (4, "c", "", None), (5, "z", "x", "https://z/")]
+    verdict = robots.allowed(spark.createDataFrame(checks, "id int, domain string, agent string, url string"), got)
+    assert {r.id: r.allowed for r in verdict.collect()} == {1: False, 2: True, 3: True, 4: True, 5: True}
+
+
+def test_addresses(spark):
+    import ipaddress
+    import random
+
+    rng = random.Random(2)
+    ips = [str(ipaddress.IPv4Address(rng.randrange(2**32))) for _ in range(300)] + [str(n[i]) for n in ipaddress._IPv4Constants._private_networks for i in (0, -1)]
+    ips += [str(ipaddress.IPv6Address(rng.randrange(2**128))) for _ in range(100)] + ["::ffff:8.8.8.8", "1.2.3.04", "", "fe80::1%eth0"]
+    never = [ipaddress.ip_network(n) for n in addresses.NEVER]
+
+    def safe(ip, private):
+        try:
+            a = ipaddress.ip_address(ip)
+        except ValueError:
+            return False
+        bad = a.is_loopback or a.is_private or a.is_link_local or a.is_multicast or a.is_reserved or a.is_unspecified
+        return not any(a in n for n in never) and (private or not bad)
+
+    rows = spark.createDataFrame([(ip, p) for ip in ips for p in (True, False)], "ip string, p boolean")
+    for r in rows.select("ip", "p", addresses.ip_safe(F.col("ip"), F.col("p")).alias("safe")).collect():
+        assert r.safe == safe(r.ip, r.p), r
+
+
+def test_fetch_limits(spark):
+    """Six redirects in a row, a hop that only ever answers 429, and a request whose records end after a redirect."""
+    cols = "request int, hop int, attempt int, url string, at timestamp, status int, error string, timeout boolean, content_type string, length long, location string, retry_after string"
+    from datetime import datetime
+
+    row = lambda r, h, a, status, error=None, to="/n": (r, h, a, f"https://x.org/{h}", datetime(2024, 1, 1), status, error, error == "slow", "text/html", 5, to, None)
+    rows = [row(1, h, 0, 302) for h in range(6)] + [row(2, 0, a, 429) for a in range(3)] + [row(3, 0, 0, 301)] + [row(4, 0, 0, 200, "slow"), row(4, 0, 1, 503), row(4, 0, 2, 503)] + [row(5, 0, 0, 200, "bad")]
+    got = {r.request: (r.status, r.error, r.redirects, r.n_attempts, r.waited) for r in fetch.fetched(spark.createDataFrame(rows, cols)).collect()}
+    assert got == {
+        1: (0, "Exceeded maximum redirects limit of 5", 5, 6, 0.0), 2: (0, "Connection failed: None", 0, 3, 6.0), 3: (None, None, 0, 1, 0.0),
+        4: (503, None, 0, 3, 1.5), 5: (0, "Connection failed: bad", 0, 1, 0.0),
+    }
+
+
+def test_jobs_without_rows(spark):
+    none = spark.createDataFrame([], "job int, event_id int, status string, error_message string, started_at int, completed_at int, " + ", ".join(f"{c} int" for c in jobs.COUNTERS))
+    assert jobs.after(none, ["event_id"]).count() == 0
+    stats = jobs.statistics(jobs.after(none, ["event_id"]), spark.createDataFrame([], "type string")).first()
+    assert set(stats.asDict().values()) == {0}
+
+
 def test_page_contacts(spark):
     from quarryline.operators.pages import page_contacts
 
@@ -93,12 +203,31 @@ def test_page_contacts(spark):
     assert {r.context for r in got if r.source_type in ("address", "footer")} == {"Mailus", "mailto:info@example.org", "call"}
 
 
-def test_json_export(spark):
+def test_exports(spark, tmp_path):
+    import csv
     import json
-
-    from quarryline.operators.contacts import export_json
-
-    rows = spark.createDataFrame([("email", "b", "B", None, 0.951, "j", "p"), ("email", "a", "A", "US", 0.9, "j", "p")], "type string, normalized_value string, value string, country string, confidence double, job string, page string")
-    got = json.loads(export_json(rows).first().json)
-    assert [(r["normalized"], r["country"], r["confidence"], r["source_url"]) for r in got] == [("a", "US", 0.9, "p"), ("b", None, 0.95, "p")]
-    assert json.loads(export_json(rows.limit(0)).first().json) == []
+    from datetime import datetime
+
+    schema = "id string, type string, value string, normalized_value string, country string, confidence double, source_type string, context string, url string, created_at timestamp, job string"
+    at = datetime(2024, 1, 2, 3, 4, 5)
+    rows = [("1", "email", "B", "b", None, 0.951, "body", 'say "hi", ok', "u", at, "j"), ("2", "email", "A", "a", "US", 0.9, "tel", None, "u", at, "j")]
+    found = spark.createDataFrame(rows, schema)
+    got = json.loads(O.export_json(found).first().json)
+    assert [(r["normalized"], r["country"], r["confidence"], r["source_url"], r["source_type"], r["created_at"]) for r in got] == [
+        ("a", "US", 0.9, "u", "tel", "2024-01-02T03:04:05"), ("b", None, 0.95, "u", "body", "2024-01-02T03:04:05")
+    ]
+    assert json.loads(O.export_json(found.limit(0)).first().json) == []
+    O.write_csv(found.coalesce(1), f"file://{tmp_path}/out")
+    text = next(tmp_path.glob("out/*.csv")).read_bytes().decode()
+    assert text.startswith("type,value,normalized,country,confidence,source_type,source_url,context\r\n")
+    assert sorted(csv.reader(text.splitlines()))[:2] == [["email", "A", "a", "US", "0.90", "tel", "u", ""], ["email", "B", "b", "", "0.95", "body", "u", 'say "hi", ok']]
+
+
+def test_streams_without_input(spark, tmp_path):
+    from quarryline.streaming import contacts as stream
+    from quarryline.streaming import dispatch
+
+    (tmp_path / "in").mkdir()
+    found = spark.readStream.schema("type string, normalized_value string, value string, job string, page string, confidence double, country string, ord int").json(f"file://{tmp_path}/in")
+    assert stream.run(found, ["ord"], f"file://{tmp_path}/a").count() == 0
+    assert dispatch.dispatch(dispatch.requests(spark, f"file://{tmp_path}/in"), f"file://{tmp_path}/b").count() == 0

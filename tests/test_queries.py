@@ -1,7 +1,10 @@
 """Each query with SQL gives the same rows as DuckDB."""
 
 import glob
+import hashlib
+import json
 import os
+import re
 
 import duckdb
 import pytest
@@ -37,10 +40,28 @@ def test_rows(spark, name):
     assert Q.QUERIES[name](spark, "/root/testdata/sf0.01").count() > 0  # the smallest pages hold no contact
 
 
+def dialled(raw):
+    """E.164, whether it is valid, and the country of a number as seen from the US; by the numbering plans, in plain code."""
+    from quarryline.functions import contacts as C
+
+    d, plans = re.sub("[^0-9]", "", raw), {p[0]: p for p in C.PLANS}
+    far = d if raw.lstrip("( ").startswith("+") else d[3:] if d.startswith("011") else None
+    code = "1" if far is None else next((far[:k] for k in (1, 2, 3) if far[:k] in plans), None)
+    if code is None:
+        return ("+" + far, True, None) if 8 <= len(far) <= 15 else None
+    _, region, trunk, lo, hi = plans[code]
+    rest = d if far is None else far[len(code) :]
+    if trunk and rest.startswith(trunk) and lo <= len(rest) - len(trunk) <= hi:
+        rest = rest[len(trunk) :]
+    full = lo <= len(rest) <= hi
+    if not full and not (far is None and len(rest) == 7):
+        return None
+    valid = full and bool(re.fullmatch(r"[2-9]\d\d[2-9]\d{6}", rest) if code == "1" else region == "IT" or rest[0] != "0")
+    return "+" + code + rest, valid, ("CA" if valid and rest[:3] in C.CANADA else "US") if code == "1" else region if valid else None
+
+
 def brute(docs):
     """(type, normalized): value, job, page, best confidence and country of the contacts in whole texts, the first of each by id."""
-    import re
-
     from quarryline.functions import contacts as C
 
     out = {}
@@ -48,6 +69,7 @@ def brute(docs):
     def add(kind, key, value, doc, confidence, country=None):
         first = out.setdefault((kind, key), [value, doc[2], str(doc[0]), confidence, country])
         first[3] = max(first[3], confidence)
+        first[4] = first[4] or country
 
     def email(address):
         return address.rsplit(".", 1)[1].lower() not in C.NOT_TLD and 2 <= len(address.rsplit(".", 1)[1]) <= 24
@@ -66,12 +88,8 @@ def brute(docs):
             odd = re.fullmatch(r"\d{4}[-/.]\d{1,2}[-/.]\d{1,2}", raw) or d in ("0123456789", "1234567890", "0987654321", "9876543210")
             if n < 7 or n > 15 or odd or len(set(d)) == 1 or (bare and (n <= 8 or len(set(d)) <= 3)):
                 continue
-            plus = raw[0] == "+"
-            e164 = "+" + d if plus and n >= 8 else "+1" + d if n == 10 else "+" + d if n == 11 and d[0] == "1" else None
-            if e164:
-                home = e164.startswith("+1")
-                valid = not home or bool(re.fullmatch(r"\+1[2-9]\d\d[2-9]\d{6}", e164))
-                add("phone", e164, raw, doc, 0.95 if plus and valid else 0.88 if valid else 0.75, "US" if home else None)
+            if found := dialled(raw):
+                add("phone", found[0], raw, doc, 0.95 if raw[0] == "+" and found[1] else 0.88 if found[1] else 0.75, found[2])
         for m in re.finditer(C.PROFILE, text):
             if len(m[2]) >= 2 and m[2].lower() not in C.NO_PROFILE:
                 clean = f"https://www.linkedin.com/{m[1].lower()}/{m[2]}"
@@ -79,33 +97,50 @@ def brute(docs):
     return {(*k, *v) for k, v in out.items()}
 
 
-def test_all_contacts(spark, tmp_path):
-    """All kinds of contacts reach dedup, counts, search, page, exports and stream, in whole texts."""
+COLS = ["type", "normalized_value", "value", "job", "page", "confidence", "country"]
+
+
+def test_all_kinds(spark, tmp_path):
+    """All kinds of contacts reach dedup, counts, lists, pages, exports and stream, in whole texts."""
     far = "filler words " * 20_000
     docs = [
         (3, "Mail Ann@Example.com or +1 (415) 555-2671, see https://www.linkedin.com/in/Jane-Doe/ now", "b"),
         (1, "write to bob [at] example [dot] com or bob@example.com, call 415-555-2671", "a"), (2, far + "linkedin.com/company/Acme and ann AT example DOT com +44 20 7946 0958", "a"),
-        (4, "no: logo@2x.png 2024-01-02 1111111111 12345678 linkedin.com/in/login", "c"), (5, None, "a"), (6, "", "b"),
+        (4, "no: logo@2x.png 2024-01-02 1111111111 12345678 linkedin.com/in/login", "c"), (5, None, "a"), (6, "", "b"), (7, "+44 (0)20 7946 0958 or 011 49 30 901820", None),
     ]
     folder = str(tmp_path)
     spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(3).write.parquet(f"{folder}/documents.parquet")
-    cols = ["type", "normalized_value", "value", "job", "page", "confidence", "country"]
     want = brute(docs)
-    assert {k[0] for k in want} == {"email", "phone", "linkedin"} and len(want) == 6
-    for name in ("all_contacts_dedup", "all_contacts_stream"):
-        got = [tuple(r) for r in Q.QUERIES[name](spark, folder).select(*cols).collect()]
+    assert {k[0] for k in want} == {"email", "phone", "linkedin"} and len(want) == 7
+    run = lambda name: Q.QUERIES[name](spark, folder).collect()
+    for name in ("contacts_dedup", "contacts_stream"):
+        got = [tuple(r[c] for c in COLS) for r in run(name)]
         assert len(got) == len(want) and set(got) == want
-    assert {tuple(r) for r in Q.QUERIES["all_contacts_new_per_job"](spark, folder).collect()} == {("a", 2, 2, 1), ("b", 0, 0, 1)}
-    assert {r.normalized_value for r in Q.QUERIES["all_contacts_list_search"](spark, folder).collect()} == {"+14155552671"}
-    assert [r.type for r in Q.QUERIES["all_contacts_page"](spark, folder).collect()] == [r[0] for r in sorted(want, key=lambda r: (-r[5], r[1], r[0]))[2:]]
-    assert sorted((r.type, r.normalized) for r in Q.QUERIES["all_export_csv"](spark, folder).collect()) == sorted(r[:2] for r in want)
-    assert sorted((r.type, r.normalized_value) for r in Q.QUERIES["all_export_json"](spark, folder).collect()) == sorted(r[:2] for r in want)
-
-
-def test_all_contacts_of_documents(spark):
+    assert {tuple(r) for r in run("contacts_new_per_job")} == {("a", 2, 2, 1), ("b", 0, 0, 1), (None, 0, 1, 0)}
+    assert {r.normalized_value for r in run("contacts_list_search")} == {"+14155552671"}
+    newest = sorted(sorted(run("contacts_joined"), key=lambda r: r.id), key=lambda r: r.created_at, reverse=True)
+    assert [tuple(r) for r in run("contacts_page")] == [tuple(r) for r in newest[2:]]
+    for name in ("export_csv", "export_csv_file", "export_json_file"):
+        assert sorted((r.type, r.normalized) for r in run(name)) == sorted(r[:2] for r in want)
+    objects = [json.loads(r.object) for r in run("export_json")]
+    assert {tuple(x) for x in objects} == {("type", "value", "normalized", "country", "confidence", "source_type", "source_url", "context", "created_at")}
+    assert sorted((x["type"], x["normalized"], x["confidence"]) for x in objects) == sorted((r[0], r[1], r[5]) for r in want)
+
+
+def test_all_kinds_of_documents(spark):
     docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source").collect()]
-    got = Q.QUERIES["all_contacts_dedup"](spark, "/root/testdata/sf0.01").collect()
-    assert {(r.type, r.normalized_value, r.value, r.job, r.page, r.confidence, r.country) for r in got} == brute(docs)
+    got = Q.QUERIES["contacts_dedup"](spark, "/root/testdata/sf0.01").collect()
+    assert {tuple(r[c] for c in COLS) for r in got} == brute(docs)
+
+
+def test_page_store(spark):
+    """Two appended writes hold every page once; failed ones have neither title nor hash; ids follow from job and url."""
+    got = Q.QUERIES["page_store"](spark, SF).collect()
+    want = {r.url: r.page_id for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    assert len(got) == len(want) and {r.url for r in got} == set(want)
+    for r in got:
+        n = want[r.url]
+        assert r.crawl_job_id == f"j{n % 5}" and (r.status_code == 503) == (n % 7 == 0) == (r.content_hash is None) and r.id == hashlib.sha256(f"j{n % 5}\n{r.url}".encode()).hexdigest()[:32]
 
 
 def test_links_below_host(spark, tmp_path):
