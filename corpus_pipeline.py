@@ -7,46 +7,53 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from quarryline.llm import exact_dedup, mixing, near_dedup, packing, quality
-from quarryline.session import shared_folder
+from quarryline.session import delete, shared_folder
+
+
+# Each stage: null texts count as empty and null ids as no id; repeated rows are as its operator has them; an empty table gives no rows.
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. Null and empty texts fail them; repeated rows stay repeated."""
     ratios = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.kept_documents(docs, ratios)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the smallest id."""
+    """Of equal texts the document with the smallest id; null ids come last, and of repeated rows one stays."""
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the smallest id."""
+    """Of each component of near duplicates the document with the smallest id. Documents without words all stay."""
     return near_dedup.drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them. Documents without words are never taken; a null source is a source."""
     return mixing.mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 2048 tokens, one row for each piece of a document."""
+    """Sequences of 2048 tokens, one row for each piece of a document. Repeated rows are packed as often as they occur."""
     return packing.packing_report(docs)
 
 
 STAGES = [("quality", filter_quality), ("exact_dedup", drop_exact_copies), ("near_dedup", drop_near_copies), ("mixing", mix_sources), ("packing", pack)]
 
-#: Packing and the language-neutral hashing of the quality rules have no SQL form. The tests see only that the whole gives rows; no brute-force version of it exists yet.
+#: Packing and the language-neutral hashing of the quality rules have no SQL form. The tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES applied to documents, each written as Parquet to the shared folder and read again."""
+    """STAGES applied to documents, each written as Parquet to the shared folder and read again. A stage's table goes when the next one's is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark)}/pipeline_{uuid.uuid4().hex}"
+    folder, last = f"{shared_folder(spark)}/pipeline_{uuid.uuid4().hex}", None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}_{name}")
-        docs = spark.read.parquet(f"{folder}/{k}_{name}")
+        path = f"{folder}/{k}_{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if last:
+            delete(spark, last)
+        last = path
     return docs
