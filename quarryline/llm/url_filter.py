@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 #: Hex digits of the digest that the join uses.
 PREFIX = 8
-#: Rule tables up to this many rows are broadcast (under 200 bytes a row); larger ones are joined by a shuffle.
-BROADCAST_RULES = 50_000
+#: Rule tables up to this many bytes (hosts, paths, digests) are broadcast; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
 
 #: (host, path, verdict)
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -68,7 +68,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     A rule fits its host and all subdomains if the path starts with its path.
     The longest (host and path together) wins; of equally long ones the longer
     host. Without a rule the verdict is `default`. Null URLs and those without
-    :// have empty host and path and fit no rule. Repeated rows stay repeated.
+    :// have empty host and path and fit no rule. Repeated rows stay repeated, an
+    empty table gives none. Columns other than the id and the url are ignored.
     """
     known = prepared(rules)
     shapes = [
@@ -78,7 +79,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     read = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     if not shapes:
         return read.select(F.col("id").alias(id_col), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    if known.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
+    size = known.agg(F.sum(F.octet_length("r_host") + F.octet_length("r_path") + F.lit(150)).alias("b")).collect()[0]["b"]
+    if size <= BROADCAST_BYTES:
         known = F.broadcast(known)
     asked = read.where("host <> ''").select("host", "path").distinct()
     tried = (
@@ -86,19 +88,18 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
         .withColumn("e_full", digest(F.col("e.e_host"), F.col("e.e_path")))
         .withColumn("e_short", F.substring("e_full", 1, PREFIX))
     )
-    hits = tried.join(known, (F.col("e_short") == F.col("short")) & (F.col("e_full") == F.col("full")))
+    hits = tried.join(known, F.col("e_short") == F.col("short"))
     rank = F.struct(F.length("r_host") + F.length("r_path"), F.length("r_host"))
+    confirmed = F.col("e_full") == F.col("full")  # of what shares a short prefix, only the same full digest counts
     best = hits.groupBy(F.col("host").alias("b_host"), F.col("path").alias("b_path")).agg(
-        F.max_by(F.struct("r_host", "r_path", "r_verdict"), rank).alias("best")
-    )
-    return read.join(best, (F.col("host") == F.col("b_host")) & (F.col("path") == F.col("b_path")), "left").select(
-        F.col("id").alias(id_col),
-        "host",
-        "path",
-        F.concat(F.col("best.r_host"), F.col("best.r_path")).alias("rule"),
-        F.coalesce(F.col("best.r_verdict"), F.lit(default)).alias("verdict"),
+        F.max_by(F.struct("r_host", "r_path", "r_verdict"), F.when(confirmed, rank)).alias("best")
     )
+    judged = lambda df, rule, verdict: df.select(F.col("id").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce(verdict, F.lit(default)).alias("verdict"))
+    named = read.where("host <> ''").join(best, (F.col("host") == F.col("b_host")) & (F.col("path") == F.col("b_path")), "left")
+    none = F.lit(None).cast("string")  # rows without a host meet no rule, and so no common join key
+    return judged(named, F.concat(F.col("best.r_host"), F.col("best.r_path")), F.col("best.r_verdict")).unionByName(judged(read.where("host = ''"), none, none))
 
 
 def standard_rules(spark) -> DataFrame:
-    return spark.createDataFrame(RULES, "host string, path string, verdict string")
+    shown = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
+    return spark.sql(f"SELECT * FROM VALUES {shown} AS t(host, path, verdict)")
