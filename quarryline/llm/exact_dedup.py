@@ -8,16 +8,18 @@ ordinary shuffle, where no group is large any more.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import settle
+from ..session import forget, settle
 from .text import BLANKS, whole
 
 #: Counters in the summary. It misses no digest with over 3.5 / TRACKED of the rows.
 TRACKED = 8192
 #: A digest is heavy from this share of the rows on. At most HEAVY_SHARE digests can be, which bounds the broadcast.
 HEAVY_SHARE = 2000
+#: Dropped rows up to this many are broadcast, as ids and digests (under 100 bytes each).
+BROADCAST_ROWS = 150_000
 
 
 def digest_of(text):
@@ -59,12 +61,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("group_size"))
     )
     front = rows.join(F.broadcast(winners), "text_sha256")
-    same = Window.partitionBy("text_sha256")
-    rest = rows.join(F.broadcast(heavy), "text_sha256", "left_anti").select(
-        "text_sha256", "doc_id", "row",
-        F.min(order).over(same).alias("first"),
-        F.count(F.lit(1)).over(same).alias("group_size"),
-    )
+    others = rows.join(F.broadcast(heavy), "text_sha256", "left_anti")
+    groups = others.groupBy("text_sha256").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("group_size"))
+    rest = others.join(groups, "text_sha256")
     return front.unionByName(rest).select(
         F.col("doc_id").alias(id_col),
         F.col("first.doc_id").alias("keep_id"),
@@ -75,13 +74,23 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_groups keeps, with all their columns."""
+    """The rows of docs that exact_groups keeps, with all their columns.
+
+    Rows are told apart by id and text: null ids and ids on several texts stand
+    for themselves, and of repeated rows one stays. Null and empty texts are
+    equal. An empty table gives no rows. The dropped rows' ids and digests are
+    broadcast up to BROADCAST_ROWS, else joined by a shuffle.
+    """
     groups = settle(exact_groups(docs, id_col, text_col))
-    kept = groups.where("kept").select(F.col(id_col).alias("_keep_id"), F.col("text_sha256").alias("_keep_sha"))
-    names = docs.columns
-    out = docs.withColumn("_sha", digest_of(F.col(text_col)))
-    out = out.join(kept, F.col(id_col).eqNullSafe(F.col("_keep_id")) & (F.col("_sha") == F.col("_keep_sha")), "left_semi")
-    dropped = groups.where(~F.col("kept") & F.col("keep_id").eqNullSafe(F.col(id_col)))
-    if not dropped.isEmpty():  # repeated rows: equal in id and text, of which one stays
-        out = out.dropDuplicates([id_col, "_sha"])
-    return out.select(*names)
+    dropped = groups.where(~F.col("kept")).select(F.col(id_col).alias("g_id"), F.unhex("text_sha256").alias("g_sha"), F.col("keep_id").eqNullSafe(F.col(id_col)).alias("repeated"))
+    gone = settle(dropped.distinct())
+    forget(groups)
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.unhex(digest_of(F.col(text_col))).alias("sha"))
+    these = lambda x: F.col("id").eqNullSafe(x["g_id"]) & (F.col("sha") == x["g_sha"])
+    few = F.broadcast if gone.count() <= BROADCAST_ROWS else lambda df: df
+    out = row.join(few(gone), these(gone), "left_anti").select("row")
+    repeated = gone.where("repeated")
+    if not repeated.isEmpty():
+        once = row.join(few(repeated), these(repeated), "left_semi").groupBy("id", "sha").agg(F.first("row").alias("row"))
+        out = out.unionByName(once.select("row"))
+    return out.select("row.*")
