@@ -7,13 +7,14 @@ Rebalancing edits the map: it moves whole slots and writes the next version.
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import settle, shared_folder
+from ..session import exists, settle, shared_folder
 from .text import whole
 
 N_SLOTS = 8192
@@ -31,7 +32,7 @@ class SlotMap:
         return cls(1, tuple(v % n_shards for v in range(n_slots)))
 
     def rebalanced(self, sizes: list[int], n_shards: int) -> SlotMap:
-        """The next version: moves and swaps of slots until no single one brings the fullest and the emptiest shard closer."""
+        """The next version: moves and swaps of slots until no single one brings the fullest and the emptiest shard closer. Without any, this one."""
         shards = list(self.shards)
         load = [0] * n_shards
         held: list[set[int]] = [set() for _ in range(n_shards)]
@@ -39,7 +40,7 @@ class SlotMap:
             load[s] += sizes[v]
             if sizes[v]:
                 held[s].add(v)
-        for _ in range(20 * len(shards)):
+        while True:  # each step brings two loads closer, so it ends
             high = max(range(n_shards), key=lambda s: (load[s], -s))
             low = min(range(n_shards), key=lambda s: (load[s], s))
             gap = load[high] - load[low]
@@ -64,10 +65,10 @@ class SlotMap:
                 load[a] -= sizes[v]
                 load[b] += sizes[v]
                 shards[v] = b
-        return SlotMap(self.version + 1, tuple(shards))
+        return self if tuple(shards) == self.shards else SlotMap(self.version + 1, tuple(shards))
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([(self.version, v, s) for v, s in enumerate(self.shards)], "version int, vslot int, shard int")
+        return _numbers(spark, self.shards, "shard").withColumn("version", F.lit(self.version))
 
     def save(self, spark: SparkSession, folder: str) -> None:
         self.frame(spark).coalesce(1).write.mode("errorifexists").parquet(f"{folder}/v{self.version}")
@@ -77,6 +78,23 @@ class SlotMap:
         rows = spark.read.parquet(f"{folder}/v{version}").orderBy("vslot").collect()
         return cls(version, tuple(r["shard"] for r in rows))
 
+    @classmethod
+    def latest(cls, spark: SparkSession, folder: str) -> SlotMap | None:
+        """The last version that a folder holds, None without any."""
+        if not exists(spark, folder):
+            return None
+        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        found = [x.getPath().getName() for x in where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)]
+        versions = [int(n[1:]) for n in found if n[:1] == "v" and n[1:].isdigit() and exists(spark, f"{folder}/{n}/_SUCCESS")]
+        return cls.load(spark, folder, max(versions)) if versions else None
+
+
+def _numbers(spark: SparkSession, xs, *names: str) -> DataFrame:
+    """vslot and the numbers of each slot, without Python workers."""
+    rows = [list(x) if isinstance(x, tuple) else [x] for x in xs]
+    each = spark.range(1).select(F.posexplode(F.from_json(F.lit(json.dumps(rows)), "array<array<bigint>>")).alias("vslot", "x"))
+    return each.select("vslot", *[F.col("x")[i].alias(n) for i, n in enumerate(names)]).withColumn("shard", F.col("shard").cast("int"))
+
 
 def hashed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_slots: int = N_SLOTS) -> DataFrame:
     """doc_id, size (UTF-8 bytes and 16), text_crc32, vslot of each row. A null id is dealt out by its text."""
@@ -106,21 +124,28 @@ def shard_documents(
     slot numbers a shard's rows gaplessly from 0, by virtual slot, then id
     (nulls first), then size and checksum. Null texts have size 16 and checksum
     0. An empty table gives no rows; then the map stays balanced by count.
+
+    folder keeps the map: its last version is edited if the load asks for it,
+    and the next one written. Without a folder a fresh one is used.
     """
     spark = docs.sparkSession
     rows = settle(hashed(docs, id_col, text_col, n_slots))
     sizes, counts = slot_bytes(rows, n_slots)
     folder = folder or f"{shared_folder(spark)}/slot_map_{uuid.uuid4().hex}"
-    before = SlotMap.first(n_shards, n_slots)
-    before.save(spark, folder)
+    before = SlotMap.latest(spark, folder)
+    if before is None:
+        before = SlotMap.first(n_shards, n_slots)
+        before.save(spark, folder)
+    if len(before.shards) != n_slots or max(before.shards) >= n_shards:
+        raise ValueError(f"{folder}: the map is for other slots or shards")
     current = before.rebalanced(sizes, n_shards)
-    current.save(spark, folder)
-    current = SlotMap.load(spark, folder, current.version)
+    if current.version > before.version:
+        current.save(spark, folder)
     start, used = [0] * n_slots, [0] * n_shards
     for v, s in enumerate(current.shards):
         start[v] = used[s]
         used[s] += counts[v]
-    places = spark.createDataFrame(list(zip(range(n_slots), current.shards, start)), "vslot int, shard int, start long")
+    places = _numbers(spark, list(zip(current.shards, start)), "shard", "start")
     inside = Window.partitionBy("vslot").orderBy("doc_id", "size", "text_crc32")
     return (
         rows.withColumn("rank", F.row_number().over(inside) - 1)
