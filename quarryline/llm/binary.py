@@ -1,8 +1,9 @@
 """Token ids in Arrow stream files with fixed-size-list batches.
 
 A file holds the ids of consecutive documents as sequences of equal length, so
-a memory-mapped reader finds any sequence without copying. The mask marks the
-tokens that belong to documents; only a file's last sequence has others. Ids
+a memory-mapped reader finds any sequence and its mask without copying. The mask
+is a byte a token, 1 for the tokens that belong to documents; only a file's last
+sequence has others. Ids
 are unsigned 16-bit while the vocabulary allows it. Each file has an index
 beside it (doc_id, start in the file, n_tokens), an Arrow stream as well.
 """
@@ -32,8 +33,22 @@ FILE_BYTES = 32 << 20
 MANIFEST = "file int, path string, first_doc long, tokens long, docs long"
 
 
+#: File systems that pyarrow writes to as Spark does, by scheme.
+SCHEMES = {"file": "file", "hdfs": "hdfs", "viewfs": "viewfs", "s3": "s3", "s3a": "s3", "gs": "gs"}
+
+
+def shared_path(spark: SparkSession, folder: str) -> str:
+    """A folder as a URI with its scheme, as Spark's default file system completes it. An error where no writer for it exists."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    full = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    scheme, _, rest = full.partition(":")
+    if scheme not in SCHEMES:
+        raise ValueError(f"{full}: token files cannot be written to {scheme}")
+    return f"{SCHEMES[scheme]}:{rest}"
+
+
 def _open(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    return fs.FileSystem.from_uri(path) if ":" in path.partition("/")[0] else (fs.LocalFileSystem(), path)
 
 
 class SequenceWriter:
@@ -42,7 +57,7 @@ class SequenceWriter:
     def __init__(self, path: str, dtype: str = "<u2", length: int = LENGTH, batch: int = BATCH):
         self.path, self.length, self.batch, self.dtype = path, length, batch, np.dtype(dtype)
         self.schema = pa.schema(
-            {"ids": pa.list_(pa.field("item", pa.from_numpy_dtype(self.dtype), False), length), "mask": pa.list_(pa.field("item", pa.bool_(), False), length)}
+            {"ids": pa.list_(pa.field("item", pa.from_numpy_dtype(self.dtype), False), length), "mask": pa.list_(pa.field("item", pa.uint8(), False), length)}
         )
         self.fs, self.name = _open(path)
         self.temp = f"{self.name}.{uuid.uuid4().hex}"
@@ -63,9 +78,9 @@ class SequenceWriter:
             self.held, self.n = [data[cut:]], len(data) - cut
 
     def _put(self, flat: np.ndarray, known: int | None) -> None:
-        mask = np.ones(len(flat), bool)
+        mask = np.ones(len(flat), np.uint8)
         if known is not None:
-            mask[known:] = False
+            mask[known:] = 0
         cols = [pa.FixedSizeListArray.from_arrays(pa.array(x), type=t.type) for x, t in zip((flat, mask), self.schema)]
         self.stream.write_batch(pa.RecordBatch.from_arrays(cols, schema=self.schema))
 
@@ -88,14 +103,15 @@ class SequenceFile:
         source = pa.memory_map(name) if isinstance(system, fs.LocalFileSystem) else system.open_input_file(name)
         self.batches = list(pa.ipc.open_stream(source))
         self.length, self.batch = length, batch
-        self.flat = [b.column("ids").flatten().to_numpy(zero_copy_only=True) for b in self.batches]
+        self.flat, self.masks = ([b.column(c).flatten().to_numpy(zero_copy_only=True) for b in self.batches] for c in ("ids", "mask"))
 
     def __len__(self) -> int:
         return sum(len(b) for b in self.batches)
 
     def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         b, j = divmod(i, self.batch)
-        return self.flat[b][j * self.length : (j + 1) * self.length], self.batches[b].column("mask")[j].values.to_numpy(zero_copy_only=False)
+        where = slice(j * self.length, (j + 1) * self.length)
+        return self.flat[b][where], self.masks[b][where]
 
     def tokens(self, start: int, n: int) -> np.ndarray:
         """n ids from position start, across batches."""
@@ -114,15 +130,19 @@ def write_tokens(
     """Writes the files and gives the manifest (MANIFEST), settled. Files hold ascending ranges of ids, nulls first.
 
     Null texts are the end token alone; repeated rows are written as often as
-    they occur; an empty table gives files without sequences.
+    they occur; an empty table gives files without sequences. Rows with equal
+    ids stand by the beginning of their text, then by its hash. Columns other
+    than the id and the text are ignored.
     """
     path = vocabulary or tokens.vocabulary_path("word_bpe_49k.json")
     dtype = "<u2"
+    folder = shared_path(docs.sparkSession, folder)
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     if files is None:
         size = read.agg(F.sum(F.octet_length("text") + 64).alias("b")).collect()[0]["b"] or 0
         files = max(8, -(-size // FILE_BYTES))
-    dealt = read.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 32), F.xxhash64("text")]  # equal and null ids can be split
+    dealt = read.repartitionByRange(files, *order).sortWithinPartitions(*order)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -180,6 +200,7 @@ def read_tokens(spark: SparkSession, manifest: DataFrame) -> DataFrame:
 
 
 def token_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
+    """write_tokens, then read_tokens: doc_id, start, n_tokens, ids_crc32 of each row, from the files. Odd rows are as write_tokens has them."""
     spark = docs.sparkSession
     folder = folder or f"{shared_folder(spark)}/tokens_{uuid.uuid4().hex}"
     return read_tokens(spark, write_tokens(docs, folder, id_col, text_col))
