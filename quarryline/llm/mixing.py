@@ -179,32 +179,38 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     span = F.struct("offset", "length", "times")
     each = spans.groupBy("row").agg(F.sort_array(F.collect_list(span)).alias("_spans"), F.max("times").alias("_times"))
     each = rows.join(each, "row").select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_spans", "_times",
-        F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("row")).alias("_nth"),
+        F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), "_spans", "_times",
+        F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("row")).alias("m_nth"),
     )
     # Repeated rows, equal in id, source and size, are told apart by their order.
-    names = docs.columns
-    read = docs.withColumn("_s", F.col(source_col).cast("string")).withColumn("_w", n_words(F.col(text_col)))
-    return _cut_texts(read, each, names, id_col, text_col)
+    read = docs.select(
+        F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"),
+        n_words(F.col(text_col)).alias("size"),
+    )
+    copies = _cut_texts(read, each)
+    kept = [F.col("cut").alias(c) if c == text_col else F.length("cut").cast("long").alias(c) if c == "n_chars" else F.col(f"row.{c}").alias(c) for c in docs.columns]
+    return copies.select(*kept)
 
 
-def _cut_texts(read: DataFrame, each: DataFrame, names: list[str], id_col: str, text_col: str) -> DataFrame:
-    several = not each.where("_nth > 1").isEmpty()
-    if several:
-        read = read.withColumn("_n", F.row_number().over(Window.partitionBy(id_col, "_s", "_w").orderBy(text_col)))
+def _cut_texts(read: DataFrame, each: DataFrame) -> DataFrame:
+    """row and cut: the words that the mix takes, for each copy of each row."""
+    if each.where("m_nth > 1").isEmpty():
+        read = read.withColumn("nth", F.lit(1))
     else:
-        read = read.withColumn("_n", F.lit(1))
-    same = (
-        F.col(id_col).eqNullSafe(F.col("_id")) & F.col("_s").eqNullSafe(F.col("_source")) & (F.col("_w") == F.col("_size")) & (F.col("_n") == F.col("_nth"))
-    )
-    copies = read.join(each, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
-    copies = copies.withColumn("_mine", F.filter("_spans", lambda s: s["times"] >= F.col("_copy")))
-    length = F.aggregate("_mine", F.lit(0).cast("long"), lambda a, s: a + s["length"])
-    copies = copies.withColumn("_all", length == F.col("_size"))
-    tokens = F.regexp_extract_all(F.col(text_col), F.lit(TOKEN), F.lit(0))
-    cut = lambda ts: F.flatten(F.transform("_mine", lambda s: F.slice(ts, (s["offset"] + 1).cast("int"), s["length"].cast("int"))))
+        read = read.withColumn("nth", F.row_number().over(Window.partitionBy("id", "source", "size").orderBy("text")))
+    same = F.col("id").eqNullSafe(F.col("m_id")) & F.col("source").eqNullSafe(F.col("m_source")) & (F.col("size") == F.col("m_size")) & (F.col("nth") == F.col("m_nth"))
+    copies = read.join(each, same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
+    copies = copies.withColumn("mine", F.filter("_spans", lambda s: s["times"] >= F.col("copy")))
+    length = F.aggregate("mine", F.lit(0).cast("long"), lambda a, s: a + s["length"])
+    tokens = F.regexp_extract_all(F.col("text"), F.lit(TOKEN), F.lit(0))
+    cut = lambda ts: F.flatten(F.transform("mine", lambda s: F.slice(ts, (s["offset"] + 1).cast("int"), s["length"].cast("int"))))
     chosen = F.transform(F.array(tokens), lambda ts: F.array_join(cut(ts), ""))[0]  # the array binds the tokens: they are found once
-    text = F.when(F.col("_all"), F.col(text_col)).otherwise(chosen)
-    out = copies.withColumn("_text", text)
-    cols = [F.col("_text").alias(c) if c == text_col else F.length("_text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in names]
-    return out.select(*cols)
+    return copies.select("row", F.when(length == F.col("size"), F.col("text")).otherwise(chosen).alias("cut"))
+
+
+def shard_counts(sources: DataFrame) -> DataFrame:
+    """shard, source, slots: what each output shard draws of each source. sources is what targets_of gives.
+
+    The law is the multinomial one, given the sources' totals over all shards.
+    """
+    return plan_slots(sources).groupBy("shard", "source").agg(F.count(F.lit(1)).alias("slots"))

@@ -98,7 +98,11 @@ def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", n: int = BUCKETS) -> list[float]:
-    """The log ratio of each bucket, from counts over all documents. Without trusted documents all are 0."""
+    """The log ratio of each bucket, from counts over all documents. Without trusted documents all are 0.
+
+    Null texts have no words; repeated rows count as often as they occur; null
+    ids are trusted by no label. An empty table gives ratios of 0.
+    """
     if labels is None:
         return [0.0] * n
     trusted = trusted_ids(labels).select(F.col("doc_id").alias("_trusted"))
@@ -124,20 +128,21 @@ def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_
 def score_documents(
     docs: DataFrame, ratios: list[float], id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD
 ) -> DataFrame:
-    """All columns of docs that start without an underscore, with the base columns, score and kept.
+    """All columns of docs, with the base columns, score and kept.
 
     Null and empty texts have no words, score 0 and fail the base. Repeated rows
-    stay repeated. Input columns named like ours are replaced.
+    stay repeated. Input columns named like ours are replaced. An empty table
+    gives no rows.
     """
     ours = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
     names = [c for c in docs.columns if c not in ours]
-    read = docs.select(*names, whole(F.col(text_col)).alias("_text"))
+    read = docs.select(F.struct(*names).alias("_row"), whole(F.col(text_col)).alias("_text"))
     out = with_base(with_words(read, F.col("_text")), F.col("_text"))
     table = F.from_json(F.lit(json.dumps([round(x, 6) for x in ratios])), "array<double>")
     total = F.aggregate(buckets_of(len(ratios)), F.lit(0.0), lambda a, x: a + F.get(table, x))
     grams = F.greatest(F.size("_h") + F.size("_b"), F.lit(1))
     out = out.withColumn("score", total / grams)
-    return out.select(*names, *ours[:6], "score", (~F.col("base_failed") & (F.col("score") >= threshold)).alias("kept"))
+    return out.select("_row.*", *ours[:6], "score", (~F.col("base_failed") & (F.col("score") >= threshold)).alias("kept"))
 
 
 def kept_documents(docs: DataFrame, ratios: list[float], id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
