@@ -4,34 +4,45 @@ A byte is eight binary decisions; each of the 255 places in a byte has its own
 context tree over the preceding bytes. A node's Krichevsky-Trofimov estimate
 and its children's weighted probabilities are mixed half and half, from the
 deepest contexts up, so a prediction mixes the estimates of all depths with
-weights that the training text has set. A context that training never saw ends
-the path. Each text ends with a byte that UTF-8 lacks, which also stands before
-its start.
+weights that the training text has set. Below a context that training never
+saw, either value of a bit has probability 1/2, as an estimate without counts
+says. Each text ends with a byte that UTF-8 lacks, which also stands before its
+start.
 
-Counts of distinct (context, byte) grams are gathered in buckets by the two
+Counts of distinct (context, byte) grams are gathered in buckets by the three
 nearest context bytes; a bucket holds whole subtrees. What lies above, depths 0
-and 1, has 65,280 nodes at most and is the only part the driver sees.
+to 2, is the only part the driver sees: 255 nodes for each pair of bytes, of
+which UTF-8 text has some thousands and can't have over 65,536.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import forget, settle
 from . import blocks
+from .blocks import sums
 
 DEPTH = 5
+#: Grams and document numbers share 64 bits, so this is the greatest depth.
+MOST_DEPTH = 5
+#: Depths above the buckets' subtrees.
+TOP = 3
 END = 0xFF
 #: Training leaves out documents whose crc32 of the id as text is a multiple of this.
 FOLDS = 10
 ALPHA = 0.1
-#: Text bytes for each bucket.
+#: Text bytes for each bucket, of a block, and of the part of a block whose grams are sorted at a time.
 BUCKET_BYTES = 64 << 20
+BLOCK_BYTES, CHUNK_BYTES = 8 << 20, 2 << 20
 
 _N = np.arange(1, 4096, dtype=np.float64)
 _HALF = np.concatenate([[0.0], np.cumsum(np.log(_N - 0.5))])
@@ -56,14 +67,6 @@ def _log_mix(estimate: np.ndarray, split: np.ndarray) -> np.ndarray:
     return np.logaddexp(estimate, split) - np.log(2)
 
 
-def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct keys, and the sums of the values by key."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
-    return (keys[first], *[np.add.reduceat(v[order], first) if len(first) else v[:0] for v in values])
-
-
 class Level:
     """The nodes of one depth: key (context << 8 | place in the byte), zeros, ones, log weighted probability."""
 
@@ -73,16 +76,17 @@ class Level:
         self.weighted = self.kt if below is None else _log_mix(self.kt, below)
         self.weight = np.ones(len(keys)) if below is None else np.exp(np.log(0.5) + self.kt - self.weighted)
 
-    def predict(self, keys: np.ndarray, bit: np.ndarray, deeper: np.ndarray) -> np.ndarray:
-        """Probability of the bit; deeper is the prediction one level down, nan where the path ended."""
+    def predict(self, keys: np.ndarray, bit: np.ndarray, deeper: np.ndarray | None) -> np.ndarray:
+        """Probability of the bit, nan where there is no such node; deeper is the prediction one level down, None at the deepest."""
         if not len(self.keys):
-            return deeper
+            return np.full(len(keys), np.nan)
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        there = self.keys[at] == keys
         zeros, ones = self.zeros[at], self.ones[at]
         p = (np.where(bit == 1, ones, zeros) + 0.5) / (zeros + ones + 1.0)
-        w = self.weight[at]
-        return np.where(there, np.where(np.isnan(deeper), p, w * p + (1 - w) * deeper), deeper)
+        if deeper is not None:
+            w = self.weight[at]
+            p = w * p + (1 - w) * np.where(np.isnan(deeper), 0.5, deeper)
+        return np.where(self.keys[at] == keys, p, np.nan)
 
 
 def bit_nodes(contexts: np.ndarray, byte: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,11 +95,11 @@ def bit_nodes(contexts: np.ndarray, byte: np.ndarray, n: np.ndarray) -> tuple[np
     for k in range(8):
         place = (1 << k) | (byte >> np.uint64(8 - k))
         bit = (byte >> np.uint64(7 - k)) & np.uint64(1)
-        key, total, one = _sums((contexts << np.uint64(8)) | place, n, np.where(bit == 1, n, 0))
+        key, total, one = sums((contexts << np.uint64(8)) | place, n, np.where(bit == 1, n, 0))
         keys.append(key)
         zeros.append(total - one)
         ones.append(one)
-    return _sums(np.concatenate(keys), np.concatenate(zeros), np.concatenate(ones))
+    return sums(np.concatenate(keys), np.concatenate(zeros), np.concatenate(ones))
 
 
 def subtree(grams: np.ndarray, n: np.ndarray, depth: int, top: int) -> dict[int, Level]:
@@ -103,7 +107,7 @@ def subtree(grams: np.ndarray, n: np.ndarray, depth: int, top: int) -> dict[int,
     levels: dict[int, Level] = {}
     for d in range(depth, top - 1, -1):
         mask = np.uint64((1 << (8 * d)) - 1)
-        short, count = _sums(((grams >> np.uint64(8)) & mask) << np.uint64(8) | (grams & np.uint64(255)), n)
+        short, count = sums(((grams >> np.uint64(8)) & mask) << np.uint64(8) | (grams & np.uint64(255)), n)
         keys, zeros, ones = bit_nodes(short >> np.uint64(8), short & np.uint64(255), count)
         below = None
         if d < depth:
@@ -121,11 +125,11 @@ def predict(grams: np.ndarray, levels: dict[int, Level]) -> np.ndarray:
     for k in range(8):
         place = (np.uint64(1) << np.uint64(k)) | (byte >> np.uint64(8 - k))
         bit = ((byte >> np.uint64(7 - k)) & np.uint64(1)).astype(np.int64)
-        p = np.full(len(grams), np.nan)
+        p = None
         for d in sorted(levels, reverse=True):
             mask = np.uint64((1 << (8 * d)) - 1)
             p = levels[d].predict((contexts & mask) << np.uint64(8) | place, bit, p)
-        total += np.log10(np.where(np.isnan(p), 0.5, p))
+        total += np.log10(0.5 if p is None else np.where(np.isnan(p), 0.5, p))
     return total
 
 
@@ -143,23 +147,36 @@ def gram_pairs(lengths: np.ndarray, data: np.ndarray, depth: int) -> tuple[np.nd
     inside = np.arange(len(keys)) - starts[whose.astype(np.int64)] <= lengths[whose.astype(np.int64)]
     keys = np.sort((keys | whose)[inside])
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
-    return keys[first] >> np.uint64(16), (keys[first] & np.uint64(0xFFFF)).astype(np.int64), np.diff(np.append(first, len(keys)))
+    return keys[first] >> np.uint64(16), (keys[first] & np.uint64(0xFFFF)).astype(np.int32), np.diff(np.append(first, len(keys))).astype(np.int32)
 
 
-def bucket_of(grams: np.ndarray, n: int) -> np.ndarray:
-    near = (grams >> np.uint64(8)) & np.uint64(0xFFFF)
-    return (((near + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(n)
+def chunks(lengths: np.ndarray, most: int = CHUNK_BYTES) -> list[tuple[int, int]]:
+    """Ranges of documents of about `most` bytes each, one document at least."""
+    ends, out, low = np.cumsum(lengths), [], 0
+    while low < len(lengths):
+        start = int(ends[low - 1]) if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, start + most, "right")))
+        out.append((low, high))
+        low = high
+    return out
 
 
-def held_out(ids: np.ndarray, known: np.ndarray) -> np.ndarray:
-    return np.array([zlib.crc32(str(i).encode() if k else b"") % FOLDS == 0 for i, k in zip(ids.tolist(), known.tolist())], bool)
+def pairs_by_chunk(lengths: np.ndarray, data: np.ndarray, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """The first document of each chunk, and its gram_pairs."""
+    ends = np.cumsum(lengths)
+    for low, high in chunks(lengths):
+        start = int(ends[low - 1]) if low else 0
+        yield low, *gram_pairs(lengths[low:high], data[start : int(ends[high - 1])], depth)
 
 
-def words_by_bucket(counts: Counter, buckets: int) -> dict[int, list[bytes]]:
-    out: dict[int, list[bytes]] = {}
-    for w in sorted(counts):
-        out.setdefault(zlib.crc32(w) % buckets, []).append(w)
-    return out
+def place_of(grams: np.ndarray) -> np.ndarray:
+    """Where a gram's three nearest context bytes put it."""
+    near = (grams >> np.uint64(8)) & np.uint64((1 << 8 * TOP) - 1)
+    return ((near + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+
+
+def held_out(ids: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return np.array([zlib.crc32(str(i).encode() if k else b"") % FOLDS == 0 for i, k in zip(ids.tolist(), known.tolist())], bool)
 
 
 def texts_of(lengths: np.ndarray, data: np.ndarray) -> list[bytes]:
@@ -167,102 +184,144 @@ def texts_of(lengths: np.ndarray, data: np.ndarray) -> list[bytes]:
     return [raw[e - n : e] for e, n in zip(ends, lengths.tolist())]
 
 
+@dataclass
+class Content:
+    """Distinct grams with their training counts, and distinct words with theirs, both sorted."""
+
+    grams: np.ndarray
+    counts: np.ndarray
+    words: list[bytes]
+    learned: np.ndarray
+
+    @classmethod
+    def of(cls, grams: np.ndarray, counts: np.ndarray, words: dict[bytes, int]) -> Content:
+        names = sorted(words)
+        return cls(grams, counts, names, np.array([words[w] for w in names], np.int64))
+
+    def orders(self, widths: list[int], level: int) -> tuple:
+        crcs = np.fromiter(map(zlib.crc32, self.words), np.uint64, len(self.words))
+        return *blocks.by_digit(blocks.digit(place_of(self.grams), widths, level)), *blocks.by_digit(blocks.digit(crcs, widths, level))
+
+
+def merge(payloads: list[bytes]) -> Content:
+    found, words = [], {}
+    for p in payloads:
+        d, n, w, text = blocks.unsqueeze(p)
+        found.append((blocks.undeltas(d), n))
+        if len(w):
+            for word, c in zip(text.tobytes().split(b"\n"), w.tolist()):
+                words[word] = words.get(word, 0) + c
+    return Content.of(*sums(np.concatenate([g for g, _ in found]), np.concatenate([n for _, n in found])), words)
+
+
+def split(content: Content, widths: list[int], level: int) -> Iterator[tuple[int, bytes]]:
+    order, at, w_order, w_at = content.orders(widths, level)
+    none = slice(0, 0)
+    for d in sorted(at.keys() | w_at.keys()):
+        mine, ws = order[at.get(d, none)], w_order[w_at.get(d, none)]
+        text = np.frombuffer(b"\n".join([content.words[i] for i in ws.tolist()]), np.uint8)
+        yield d, blocks.squeeze(blocks.deltas(content.grams[mine]), content.counts[mine], content.learned[ws], text)
+
+
+def assembled(content: Content, got: dict[int, bytes], widths: list[int], level: int) -> tuple[np.ndarray, np.ndarray]:
+    """What answers say of all grams (log10 probability) and words (training count) of a content."""
+    order, at, w_order, w_at = content.orders(widths, level)
+    value, found = np.zeros(len(content.grams)), np.zeros(len(content.words), np.int64)
+    none = slice(0, 0)
+    for d, p in got.items():
+        v, c = blocks.unsqueeze(p)
+        value[order[at.get(d, none)]] = v
+        found[w_order[w_at.get(d, none)]] = c
+    return value, found
+
+
+def picked(payloads: list[bytes], content: Content, value: np.ndarray, found: np.ndarray) -> list[bytes]:
+    """The part of a content's values that each message asked for."""
+    index, out = dict(zip(content.words, found.tolist())), []
+    for p in payloads:
+        d, _, w, text = blocks.unsqueeze(p)
+        c = np.array([index[x] for x in text.tobytes().split(b"\n")], np.int64) if len(w) else w
+        out.append(blocks.squeeze(value[np.searchsorted(content.grams, blocks.undeltas(d))], c))
+    return out
+
+
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of each row of docs.
 
     Null and empty texts are the end alone. A null id counts as the empty text
     when folds are dealt. Repeated rows are learned from as often as they occur.
     An empty table gives no rows; without training documents nothing is known
-    and each bit costs one.
+    and each bit costs one. Columns other than the id and the text are ignored.
+    depth is TOP to MOST_DEPTH.
     """
-    buckets = blocks.n_buckets(docs, text_col, BUCKET_BYTES)
+    if not TOP <= depth <= MOST_DEPTH:
+        raise ValueError(f"depth {depth} is not in {TOP} .. {MOST_DEPTH}")
+    widths = blocks.widths_of(docs, text_col, BUCKET_BYTES)
 
     def ask(ids, known, lengths, data):
         train = ~held_out(ids, known)
-        gram, doc, n = gram_pairs(lengths, data, depth)
-        grams, counts = _sums(gram, np.where(train[doc], n, 0))
-        place = bucket_of(grams, buckets)
+        grams, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+        for low, gram, doc, n in pairs_by_chunk(lengths, data, depth):
+            some = sums(gram, np.where(train[low + doc], n, 0).astype(np.int64))
+            grams, counts = sums(np.concatenate([grams, some[0]]), np.concatenate([counts, some[1]]))
         words: Counter = Counter()
         learned: Counter = Counter()
         for t, x in zip(texts_of(lengths, data), train.tolist()):
             (learned if x else words).update(t.lower().split())
-        for w in learned:
-            words[w] += 0
-        lists = words_by_bucket(words, buckets)
-        for b in range(buckets):
-            mine = place == b
-            ws = lists.get(b, [])
-            if not mine.any() and not ws:
-                continue
-            some = np.array([learned.get(w, 0) for w in ws], np.int64)
-            text = np.frombuffer(b"\n".join(ws), np.uint8)
-            yield b, blocks.squeeze(blocks.deltas(grams[mine]), counts[mine].astype(np.int64), some, text)
-
-    made = blocks.make(docs, id_col, text_col, ask)
-
-    def gathered(payloads: list[bytes]):
-        asked, words = [], {}
-        for p in payloads:
-            d, n, w, text = blocks.unsqueeze(p)
-            asked.append((blocks.undeltas(d), n))
-            if len(w):
-                for word, c in zip(text.tobytes().split(b"\n"), w.tolist()):
-                    words[word] = words.get(word, 0) + c
-        grams, counts = _sums(np.concatenate([g for g, _ in asked]), np.concatenate([n for _, n in asked]))
-        return asked, grams, counts, words
+        yield from split(Content.of(grams, counts, {w: learned.get(w, 0) for w in words.keys() | learned.keys()}), widths, 0)
+
+    levels = blocks.descend(blocks.make(docs, id_col, text_col, BLOCK_BYTES, ask), exchange := blocks.Exchange(widths, merge, lambda c, i: split(c, widths, i), None, None))
 
     def summed(_, payloads):
-        _, grams, counts, words = gathered(payloads)
-        seen = counts > 0
-        level = subtree(grams[seen], counts[seen], depth, 2)[2]
-        key, zeros, ones, weighted = _sums(level.keys & np.uint64(0xFFFF), level.zeros, level.ones, level.weighted)
-        cols = [np.append(key.astype(np.int64), -1), np.append(zeros, sum(words.values())), np.append(ones, sum(c > 0 for c in words.values())), np.append(weighted, 0.0)]
+        content = merge(payloads)
+        seen = content.counts > 0
+        level = subtree(content.grams[seen], content.counts[seen], depth, TOP)[TOP]
+        key, zeros, ones, weighted = sums(level.keys & np.uint64((1 << 8 * TOP) - 1), level.zeros, level.ones, level.weighted)
+        cols = [np.append(key.astype(np.int64), -1), np.append(zeros, content.learned.sum()), np.append(ones, (content.learned > 0).sum()), np.append(weighted, 0.0)]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["node", "zeros", "ones", "weighted"])
 
-    parts = blocks.by_bucket(made, summed, "node long, zeros long, ones long, weighted double")
-    top = parts.groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("weighted")).orderBy("node").collect()
-    words_n, words_v = (top[0]["zeros"], top[0]["ones"]) if top else (0, 0)
-    nodes = top[1:]
-    one = Level(*[np.array([r[c] for r in nodes], t) for c, t in (("node", np.uint64), ("zeros", np.int64), ("ones", np.int64), ("weighted", np.float64))])
-    root_keys, zeros, ones, below = _sums(one.keys & np.uint64(255), one.zeros, one.ones, one.weighted)
-    upper = {0: Level(root_keys, zeros, ones, below), 1: one}
+    parts = blocks.by_bucket(levels[-1], summed, "node long, zeros long, ones long, weighted double")
+    added = settle(parts.groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("weighted")))
+    top = added.toArrow().sort_by("node")  # bounded: see above
+    forget(added)
+    node, zeros, ones, weighted = (top.column(c).to_numpy() for c in ("node", "zeros", "ones", "weighted"))
+    words_n, words_v = (int(zeros[0]), int(ones[0])) if len(node) else (0, 0)
+    upper: dict[int, Level] = {}
+    keys, zeros, ones, below = node[1:].astype(np.uint64), zeros[1:], ones[1:], weighted[1:]
+    for d in range(TOP - 1, -1, -1):
+        upper[d] = Level(keys, zeros, ones, below)
+        mask = np.uint64((1 << 8 * d) - 1)
+        keys, zeros, ones, below = sums(keys & mask, zeros, ones, upper[d].weighted)
     ends_of = docs.select(F.crc32(F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")).cast("binary")).alias("c"))
     ends = ends_of.where(F.col("c") % FOLDS != 0).count()
     total, distinct = words_n + ends, words_v + (1 if ends else 0)
 
-    def answered(block_ids, payloads):
-        asked, grams, counts, words = gathered(payloads)
-        seen = counts > 0
-        value = predict(grams, subtree(grams[seen], counts[seen], depth, 2) | upper)
-        out, bucket = [], None
-        for k, (g, _), p in zip(block_ids, asked, payloads):
-            _, _, w, text = blocks.unsqueeze(p)
-            bucket = int(bucket_of(g[:1], buckets)[0]) if len(g) else zlib.crc32(text.tobytes().split(b"\n")[0]) % buckets
-            found = np.array([words[x] for x in text.tobytes().split(b"\n")], np.int64) if len(w) else w
-            out.append((k, blocks.ANSWER, bucket, blocks.squeeze(value[np.searchsorted(grams, g)].astype(np.float32), found)))
-        return blocks.rows(out)
-
-    answers = blocks.by_bucket(made, answered, blocks.ROWS)
+    def answer(payloads):
+        content = merge(payloads)
+        seen = content.counts > 0
+        value = predict(content.grams, subtree(content.grams[seen], content.counts[seen], depth, TOP) | upper)
+        return picked(payloads, content, value, content.learned)
+
+    def spread(payloads, content, got, level):
+        return picked(payloads, content, *assembled(content, got, widths, level))
+
+    answers = blocks.ascend(levels, replace(exchange, answer=answer, spread=spread))
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
-    def finish(_, ids, known, lengths, data, got):
-        got = {b: blocks.unsqueeze(p) for b, p in got.items()}
-        gram, doc, n = gram_pairs(lengths, data, depth)
-        grams = gram[np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])] if len(gram) else gram
-        place = bucket_of(grams, buckets)
-        value = np.zeros(len(grams))
-        for b, (v, _) in got.items():
-            value[place == b] = v
-        score = np.bincount(doc, n * value[np.searchsorted(grams, gram)], len(ids))
+    def finish(_, got, held):
+        ids, known, lengths, data = blocks.unpack(held[0])
+        found = list(pairs_by_chunk(lengths, data, depth))
         texts = [t.lower().split() for t in texts_of(lengths, data)]
-        index, c = {}, []
-        for b, ws in words_by_bucket(Counter({w: 1 for t in texts for w in t}), buckets).items():
-            for w, x in zip(ws, got[b][1].tolist()):
-                index[w] = len(c)
-                c.append(x)
-        c.append(ends)
-        c = np.array(c, np.int64)
+        grams = blocks.distinct(np.concatenate([g for _, g, _, _ in found]))
+        content = Content.of(grams, np.zeros(len(grams), np.int64), dict.fromkeys({w for t in texts for w in t}, 0))
+        value, c = assembled(content, got, widths, 0)
+        score = np.zeros(len(ids))
+        for low, gram, doc, n in found:
+            part = np.bincount(doc, n * value[np.searchsorted(grams, gram)])
+            score[low : low + len(part)] += part
+        index = {w: i for i, w in enumerate(content.words)}
+        c = np.append(c, ends)
         logs = np.log10((c + ALPHA) / (total + ALPHA * (distinct + 1)))
         base, tokens, some = np.empty(len(ids)), np.empty(len(ids), np.int64), np.empty(len(ids), np.int64)
         for i, t in enumerate(texts):
@@ -273,4 +332,4 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         cols = [pa.array(ids, pa.int64(), mask=~known), held_out(ids, known), tokens, some, np.full(len(ids), total), base, score, bits]
         return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in cols], names)
 
-    return blocks.by_block(made, answers, finish, schema)
+    return blocks.by_block([answers, levels[0].held()], finish, schema)
