@@ -110,7 +110,7 @@ def robots_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def robots_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     loads = spark.sql(_TIMED, rows=values(spark, "domain string, scheme string, minute long, status int, content string", LOADS))
     wanted = spark.sql(_TIMED, rows=values(spark, "domain string, minute long", WANTED)).withColumn("scheme", F.lit("https"))
-    return robots.resolved(wanted, loads).select("domain", "content", ((F.unix_seconds("fetched_at") - 1704067200) / 60).cast("long").alias("minute"))
+    return robots.resolved(wanted, loads).select("domain", "content", F.date_format("fetched_at", "HH:mm").alias("fetched"))
 
 
 def ip_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +140,7 @@ def retry_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fetch_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fetch.fetched(_attempts(spark, sf_dir), values(spark, "host string", [(h,) for h in UNSAFE]))
-    return found.withColumn("waited", F.round("waited", 3))
+    return found.withColumn("waited", F.round("waited", 3)).withColumn("status", F.col("status").cast("string"))
 
 
 def needs_render(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,8 +228,8 @@ ORACLE = {
     hits AS (SELECT id, arg_max(allow, length(pattern) * 2 + allow::INT) AS allowed FROM asked JOIN {sql_values(['t', 'a', 'grp'], CHOSEN)} USING (t, a)
         JOIN (SELECT * FROM {_rules}) AS r USING (t, grp) WHERE regexp_matches(path, rx) GROUP BY id)
     SELECT id, coalesce(allowed, true) AS allowed FROM asked LEFT JOIN hits USING (id)""",
-    "robots_resolved": """SELECT * FROM (VALUES ('a.org', 'User-agent: x', 5::BIGINT), ('b.org', '', 0), ('c.org', 'fallback', 0), ('d.org', NULL, 0), ('e.org', NULL, NULL),
-        ('f.org', 'only http', 1), ('g.org', NULL, NULL)) AS t(domain, content, minute)""",
+    "robots_resolved": """SELECT * FROM (VALUES ('a.org', 'User-agent: x', '00:05'), ('b.org', '', '00:00'), ('c.org', 'fallback', '00:00'), ('d.org', NULL, '00:00'), ('e.org', NULL, NULL),
+        ('f.org', 'only http', '00:01'), ('g.org', NULL, NULL)) AS t(domain, content, fetched)""",
     "ip_safe": f"""SELECT id, ip, allow_private, {_SAFE} AS safe FROM (SELECT *, {_OCTETS} FROM {in_oracle(IPS_SQL, 'orders')})
         UNION ALL SELECT -1, ip, allow_private, safe FROM {sql_values(['ip', 'allow_private', 'safe'], SIXES)}""",
     "host_safe": f"""SELECT host, allow_private, coalesce(bool_and({_SAFE}), false) AS safe
@@ -251,7 +251,7 @@ ORACLE = {
             WHEN moved THEN NULL WHEN NOT {_KIND_OK} THEN 'Excluded content type: ' || {_TYPE} WHEN length > 10485760 THEN 'Response exceeded size limit' END AS error FROM judged),
         done AS (SELECT *, error IS NOT NULL OR NOT moved AS over FROM told),
         used AS (SELECT * FROM done AS d WHERE NOT EXISTS (SELECT 1 FROM done AS e WHERE e.request = d.request AND e.over AND e.hop < d.hop))
-        SELECT request, arg_max(url, hop) AS url, nullif(max_by(CASE WHEN NOT over THEN -1 WHEN early OR NOT answered OR moved THEN 0 ELSE status END, hop), -1) AS status,
+        SELECT request, arg_max(url, hop) AS url, CAST(nullif(max_by(CASE WHEN NOT over THEN -1 WHEN early OR NOT answered OR moved THEN 0 ELSE status END, hop), -1) AS VARCHAR) AS status,
             nullif(max_by(coalesce(error, ''), hop), '') AS error, CAST(max(hop) AS BIGINT) AS redirects, CAST(sum(CASE WHEN early THEN 0 ELSE n END) AS BIGINT) AS n_attempts,
             round(sum(CASE WHEN early THEN 0 ELSE waited END), 3) AS waited FROM used GROUP BY request""",
     "needs_render": """SELECT page_id, page_id % 3 = 0 AND length(trim('<div id="root"></div>' || substr(html, 1, 450), E' \\t\\n\\r')) < 500 AS needs_render FROM pages""",

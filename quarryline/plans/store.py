@@ -75,7 +75,7 @@ def contacts_list_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contacts_by_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(O.search(_listing(spark, sf_dir), job="src3", text="COM"))
+    return _plain(O.search(_listing(spark, sf_dir), job="src1", text="COM"))
 
 
 def contacts_total(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +128,8 @@ def dispatch_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.after(recorded(spark, sf_dir, UPDATES_SQL, "events"), ["event_id"])
+    rows = J.after(recorded(spark, sf_dir, UPDATES_SQL, "events"), ["event_id"])
+    return rows.withColumns({c: F.lpad(F.col(c).cast("string"), 12, "0") for c in ("started_at", "completed_at")})
 
 
 def job_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,7 +220,7 @@ _FOUND = rf"""raws AS ({_each(_EMAIL, 0)} UNION ALL {_each(_OBFUSCATED, 1)} UNIO
     listing AS (SELECT substr(sha256(type || chr(10) || normalized_value), 1, 32) AS id, type, value, normalized_value, country, confidence, source_type, context, url, created_at, job
         FROM one JOIN {in_oracle(PAGES_SQL, 'documents')} AS p ON p.id = page)"""
 _JOBS = f"""(SELECT job, arg_max(status, event_id) FILTER (status IS NOT NULL) AS status, arg_max(error_message, event_id) FILTER (error_message IS NOT NULL) AS error_message,
-    max(started_at) AS started_at, max(completed_at) AS completed_at, {', '.join(f'CAST(coalesce(sum({c}), 0) AS BIGINT) AS {c}' for c in J.COUNTERS)}
+    lpad(CAST(max(started_at) AS VARCHAR), 12, '0') AS started_at, lpad(CAST(max(completed_at) AS VARCHAR), 12, '0') AS completed_at, {', '.join(f'CAST(coalesce(sum({c}), 0) AS BIGINT) AS {c}' for c in J.COUNTERS)}
     FROM {in_oracle(UPDATES_SQL, 'events')} GROUP BY job)"""
 _SENT = "NOT denied AND error IS NULL AND status BETWEEN 200 AND 299"
 _F = in_oracle(FETCHES_SQL, "lineitem")
@@ -233,7 +234,7 @@ ORACLE = {
     "contacts_new_per_job": f"WITH {_FOUND} SELECT job, count(*) FILTER (type = 'email') AS emails, count(*) FILTER (type = 'phone') AS phones, count(*) FILTER (type = 'linkedin') AS linkedins FROM one GROUP BY job",
     "contacts_joined": f"WITH {_FOUND} SELECT * FROM listing",
     "contacts_list_search": f"WITH {_FOUND} SELECT * FROM listing WHERE type = 'phone' AND (value ILIKE '%5_5%' OR normalized_value ILIKE '%5_5%' OR url ILIKE '%5_5%')",
-    "contacts_by_job": f"WITH {_FOUND} SELECT * FROM listing WHERE job = 'src3' AND (value ILIKE '%com%' OR normalized_value ILIKE '%com%' OR url ILIKE '%com%')",
+    "contacts_by_job": f"WITH {_FOUND} SELECT * FROM listing WHERE job = 'src1' AND (value ILIKE '%com%' OR normalized_value ILIKE '%com%' OR url ILIKE '%com%')",
     "contacts_total": f"WITH {_FOUND} SELECT count(*) AS total FROM listing WHERE value ILIKE '%example%' OR normalized_value ILIKE '%example%' OR url ILIKE '%example%'",
     "contacts_page": f"WITH {_FOUND} SELECT * FROM listing ORDER BY created_at DESC, id LIMIT 50 OFFSET 2",
     "contact_sources": f"WITH {_FOUND} SELECT substr(sha256(type || chr(10) || normalized_value), 1, 32) AS id, substr(sha256(type || chr(10) || normalized_value), 1, 32) AS contact_id, page AS page_id, job AS crawl_job_id, context, source_type, created_at FROM one",
