@@ -44,6 +44,8 @@ SAMPLE = 1024
 SLACK, SLACK_SAMPLED = 1, 15
 #: Comparisons in a bucket from which its members are joined by rare shingles instead.
 HOT_WORK = 1_000_000
+#: Links that one task unites (under 200 KB).
+FEW_LINKS = 10_000
 #: Id lists up to this many rows are broadcast (about 16 MB), larger ones joined by a shuffle.
 BROADCAST_IDS = 400_000
 
@@ -227,17 +229,35 @@ def _close(a: str, b: str) -> Column:
     return (100 + least) * F.size(F.array_intersect(x, y)) >= least * (F.size(x) + F.size(y))
 
 
+def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """v, root of all vertices of links (a, b), which one task holds."""
+    root: dict[int, int] = {}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = find(root.setdefault(a, a)), find(root.setdefault(b, b))
+            root[max(a, b)] = min(a, b)
+    yield pa.RecordBatch.from_arrays([pa.array(list(root), pa.int64()), pa.array([find(v) for v in root], pa.int64())], ["v", "root"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """v, root of each vertex of the links (a, b), settled; vertices have equal roots if they are connected.
 
-    Each round, every vertex points to the least of itself and its neighbours,
-    pointers are followed four steps, and links are redrawn between where their
-    ends have come. By turns least means by number, which gathers stars at once,
-    and by a hash of the round, which breaks up chains.
+    While there are more than FEW_LINKS, each round every vertex points to the
+    least of itself and its neighbours, pointers are followed four steps, and
+    links are redrawn between where their ends have come. By turns least means
+    by number, which gathers stars at once, and by a hash of the round, which
+    breaks up chains. The few links that are left are united in one task.
     """
     links = settle(links)
     roots, turn = None, 0
-    while not links.isEmpty():
+    while links.count() > FEW_LINKS:
         both = links.union(links.select("b", "a"))
         rank = lambda c: F.struct(F.xxhash64(F.lit(turn), c) if turn % 2 else F.lit(0).cast("long"), F.col(c).alias("to"))  # noqa: B023, E731
         one = settle(both.groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("v"), F.least("m", rank("a"))["to"].alias("to")))
@@ -245,20 +265,22 @@ def components(links: DataFrame) -> DataFrame:
         for _ in range(2):
             move = move.join(move.select(F.col("v").alias("to"), F.col("to").alias("next")), "to").select("v", F.col("next").alias("to"))
         move = settle(move)
-        if roots is None:
-            new = settle(move.select("v", F.col("to").alias("root")))
-        else:
-            step = move.select(F.col("v").alias("root"), "to")
-            new = settle(roots.join(step, "root", "left").select("v", F.coalesce("to", "root").alias("root")))
+        new = settle(_moved(roots, move.select("v", F.col("to").alias("root"))))
         a = move.select(F.col("v").alias("a"), F.col("to").alias("ta"))
         b = move.select(F.col("v").alias("b"), F.col("to").alias("tb"))
         left = settle(links.join(a, "a").join(b, "b").where("ta <> tb").select(F.col("ta").alias("a"), F.col("tb").alias("b")).distinct())
         forget(links, one, move, roots)
         links, roots, turn = left, new, turn + 1
+    last = settle(_moved(roots, links.repartition(1).mapInArrow(_union, "v long, root long")))
+    forget(links, roots)
+    return last
+
+
+def _moved(roots: DataFrame | None, step: DataFrame) -> DataFrame:
+    """roots (v, root) after their roots have moved by a step (v, root); the step itself if there are none yet."""
     if roots is None:
-        return links.select(F.col("a").alias("v"), F.col("b").alias("root"))
-    forget(links)
-    return roots
+        return step
+    return roots.join(step.select(F.col("v").alias("root"), F.col("root").alias("to")), "root", "left").select("v", F.coalesce("to", "root").alias("root"))
 
 
 def _ends(links: DataFrame, roots: DataFrame) -> DataFrame:
@@ -270,9 +292,11 @@ def _ends(links: DataFrame, roots: DataFrame) -> DataFrame:
 
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     """roots after the confirmed links (a, b) have been added; replaces roots and links."""
+    if links.isEmpty():
+        forget(links)
+        return roots
     step = components(_ends(links, roots).select(F.col("r_a").alias("a"), F.col("r_b").alias("b")).distinct())
-    moved = roots.join(step.select(F.col("v").alias("root"), F.col("root").alias("to")), "root", "left").select("v", F.coalesce("to", "root").alias("root"))
-    out = settle(moved.union(step.join(roots, "v", "left_anti").select("v", "root")))
+    out = settle(_moved(roots, step).union(step.join(roots, "v", "left_anti").select("v", "root")))
     forget(step, roots, links)
     return out
 

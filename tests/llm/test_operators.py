@@ -9,7 +9,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from quarryline.llm import binary, ctw, exact_dedup, mixing, near_dedup, packing, quality, sharding, suffix_dedup, tokens, url_filter
+from quarryline.llm import binary, blocks, ctw, exact_dedup, mixing, near_dedup, packing, quality, sharding, suffix_dedup, tokens, url_filter
+
+from quarryline import session
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -40,6 +42,60 @@ def test_suffix(request, which):
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in got)
 
 
+def small_parts(monkeypatch, module, bucket, block):
+    """Many buckets, reached over several levels by a fan of 4, with batches of a few messages."""
+    for name, x in (("FAN", 4), ("LEAST_BUCKETS", 1), ("BATCH_BYTES", 20_000)):
+        monkeypatch.setattr(blocks, name, x)
+    monkeypatch.setattr(module, "BUCKET_BYTES", bucket)
+    monkeypatch.setattr(module, "BLOCK_BYTES", block)
+
+
+@pytest.mark.parametrize("bucket", [40_000, 2_000])
+def test_suffix_levels(small, monkeypatch, bucket):
+    small_parts(monkeypatch, suffix_dedup, bucket, 60_000)
+    assert len(blocks.widths_of(small, "text", bucket)) >= 2
+    got = Counter(tuple(r)[:5] for r in suffix_dedup.remove_repeats(small).collect())
+    monkeypatch.undo()
+    assert got == Counter(tuple(r)[:5] for r in suffix_dedup.remove_repeats(small).collect())
+
+
+def test_common_anchors(small, monkeypatch):
+    """Windows of common anchors travel one by one, with the same result."""
+    want = Counter(tuple(r)[:5] for r in suffix_dedup.remove_repeats(small).collect())
+    common = suffix_dedup.anchor_exchange
+
+    def lowered(widths):
+        x = common(widths)
+
+        def answer(payloads):
+            asked, anchor, n = suffix_dedup.anchors_asked(payloads)
+            state = np.where(n >= 2, 2, 0).astype(np.uint8)
+            return [blocks.squeeze(state[np.searchsorted(anchor, a)]) for a in asked]
+
+        return blocks.Exchange(x.widths, x.merge, x.split, answer, x.spread)
+
+    monkeypatch.setattr(suffix_dedup, "anchor_exchange", lowered)
+    assert Counter(tuple(r)[:5] for r in suffix_dedup.remove_repeats(small).collect()) == want
+
+
+@pytest.mark.parametrize("buckets", [64, 512, 4096, 262_144])
+def test_messages_stay_few(buckets):
+    """However many buckets there are, a sender of a level sends FAN messages at most."""
+    widths, n = [], buckets
+    while n > blocks.FAN:
+        widths.append(blocks.FAN)
+        n = -(-n // blocks.FAN)
+    widths.append(n)
+    rng = np.random.default_rng(1)
+    anchor = np.unique(rng.integers(0, 1 << 40, 50_000).astype(np.uint64))
+    x = suffix_dedup.anchor_exchange(widths)
+    sent = [list(x.split((anchor, np.ones(len(anchor), np.uint16)), level)) for level in range(len(widths))]
+    assert all(len(m) <= blocks.FAN for m in sent) and np.prod(widths) >= buckets
+    assert sum(len(p) for _, p in sent[0]) < 9 * len(anchor) + 200 * len(sent[0])
+    back = np.sort(np.concatenate([blocks.undeltas(blocks.unsqueeze(p)[0]) for _, p in sent[0]]))
+    assert (back == anchor).all()
+
+
 def test_cover_and_order():
     assert {(a - b) % suffix_dedup.COVER for a in suffix_dedup.SAMPLE for b in suffix_dedup.SAMPLE} == set(range(suffix_dedup.COVER))
     rng = np.random.default_rng(1)
@@ -76,6 +132,46 @@ def test_quality(spark, request, which):
     assert quality.kept_documents(docs, ratios).columns == docs.columns
 
 
+def bucket_numbers(spark, texts):
+    """Bucket of each word and of each two words in a row, by the engine's hash of a long and of a text, all else in Python."""
+    from pyspark.sql import functions as F
+
+    words = sorted({w for t in texts for w in WORD.findall(t)})
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()
+    h = {r.w: r.h for r in rows}
+    pairs = sorted({(h[a], h[b]) for t in texts for ws in [WORD.findall(t)] for a, b in zip(ws, ws[1:])})
+    two = spark.createDataFrame(pairs, "a long, b long").select("a", "b", F.xxhash64("a", "b").alias("h")).collect() if pairs else []
+    b = {(r.a, r.b): r.h for r in two}
+    return [[h[w] % quality.BUCKETS for w in ws] + [b[h[x], h[y]] % quality.BUCKETS for x, y in zip(ws, ws[1:])] for ws in map(WORD.findall, texts)]
+
+
+@pytest.mark.parametrize("which", ["odd", "small"])
+def test_quality_score(spark, request, which):
+    """Score and verdict against log ratios that are counted in Python."""
+    docs = request.getfixturevalue(which).select("doc_id", "text")
+    good = {1, 8, 10, 40, 41, 42, 43, 44}
+    labels = spark.createDataFrame([(d, 1, 0) for d in good] + [(2, 0, 0), (5, 1, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    rows = texts(docs)
+    grams = bucket_numbers(spark, [t for _, t in rows])
+    raw, target = Counter(range(quality.BUCKETS)), Counter()
+    for (d, _), g in zip(rows, grams):
+        raw.update(g)
+        if d in good:
+            target.update(g)
+    n, m, prior = sum(raw.values()), sum(target.values()), quality.PRIOR * quality.BUCKETS
+    ratio = lambda x: math.log((target[x] + prior * raw[x] / n) / (m + prior) / (raw[x] / n))
+    want = defaultdict(list)
+    for (d, t), g in zip(rows, grams):
+        want[(d, len(WORD.findall(t)))].append(sum(map(ratio, g)) / max(1, len(g)))
+    got = defaultdict(list)
+    for r in quality.score_documents(docs, quality.fit(docs, labels)).collect():
+        got[(r.doc_id, r.n_words)].append(r.score)
+        assert abs(r.score - quality.THRESHOLD) < 1e-5 or r.kept == (not r.base_failed and r.score >= quality.THRESHOLD)
+    assert got.keys() == want.keys()
+    for k in want:
+        assert np.allclose(sorted(got[k]), sorted(want[k]), atol=2e-6)
+
+
 @pytest.mark.parametrize("which", ["odd", "none", "small"])
 def test_mixing(request, which):
     docs = request.getfixturevalue(which)
@@ -93,6 +189,62 @@ def test_mixing(request, which):
     assert sum(len(WORD.findall(r.text)) for r in out.collect()) == sum(r.taken for r in got)
 
 
+def filled(sizes):
+    """Targets by filling: sources by code point, null last; what is over three times a size is shared again."""
+    names = sorted((x for x in sizes if x is not None), key=lambda x: x.encode()) + [x for x in sizes if x is None]
+    weight = {x: i % 3 + 1 for i, x in enumerate(names)}
+    target, free, left = {}, set(names), float(sum(sizes.values()))
+    while free:
+        share = left / sum(weight[x] for x in free)
+        over = {x for x in free if share * weight[x] > 3 * sizes[x]}
+        if not over:
+            return target | {x: share * weight[x] for x in free}
+        for x in over:
+            target[x] = 3.0 * sizes[x]
+            left -= target[x]
+        free -= over
+    return target
+
+
+def test_targets_by_filling(spark):
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 7, 30):
+        sizes = {f"s{i}": int(rng.integers(0, 10 ** int(rng.integers(1, 6)))) for i in range(n)} | {None: 5, "\u00e9": 40, "": 7}
+        got = mixing.targets_of(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
+        want = filled(sizes)
+        assert len(got) == len(want)
+        for r in got:
+            assert math.isclose(r.target, want[r.source], rel_tol=1e-9, abs_tol=1e-6)
+
+
+def test_shard_counts(spark):
+    """Each shard is full, sources get what they are due, and counts spread over shards as a multinomial draw's."""
+    sizes = [("a", 40_000 * mixing.BLOCK), ("b", 40_000 * mixing.BLOCK), ("c", 80_000 * mixing.BLOCK)]
+    sources = mixing.targets_of(spark.createDataFrame(sizes, "source string, source_size long"))
+    counts = defaultdict(dict)
+    for r in mixing.shard_counts(sources).collect():
+        counts[r.shard][r.source] = r.slots
+    totals = {r.source: round(r.target / mixing.BLOCK) for r in sources.collect()}
+    assert {x: sum(c.get(x, 0) for c in counts.values()) for x in totals} == totals
+    n = sum(totals.values())
+    full = [c for c in counts.values() if sum(c.values()) == mixing.SHARD_SLOTS]
+    assert len(full) >= len(counts) - 1
+    chi = sum((c[x] - mixing.SHARD_SLOTS * t / n) ** 2 / (mixing.SHARD_SLOTS * t / n) for c in full for x, t in totals.items())
+    freedom = 2 * len(full)
+    assert abs(chi - freedom) < 5 * math.sqrt(2 * freedom)
+
+
+def test_mixed_clashing_columns(spark):
+    rows = [(1, "a b c d " * 60, "x", 1, 2, 3, 4, 5, 6, 7, 8), (2, "e f g " * 90, None, 1, 2, 3, 4, 5, 6, 7, 8), (2, "e f g " * 90, None, 1, 2, 3, 4, 5, 6, 7, 9)]
+    names = ["_id", "_times", "_size", "_text", "_n", "_w", "_copy", "row"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{c} int" for c in names))
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns
+    assert {tuple(r)[3:10] for r in out.collect()} == {(1, 2, 3, 4, 5, 6, 7)}
+    report = mixing.mix_report(docs).collect()
+    assert sum(len(WORD.findall(r.text)) for r in out.collect()) == sum(r.taken for r in report)
+
+
 def test_permutation(spark):
     from pyspark.sql import functions as F
 
@@ -112,6 +264,37 @@ def test_urls(spark):
     assert url_filter.filter_urls(pages.limit(0), url_filter.standard_rules(spark)).count() == 0
 
 
+def judged(url, rules):
+    """The rule and verdict of a URL by trying every rule."""
+    url = url or ""
+    head, sep, rest = url.partition("://")
+    host = re.split(r"[/?#]", rest, maxsplit=1)[0] if sep else ""
+    host = "".join(c.lower() if c.isascii() else c for c in host)
+    path = re.split(r"[?#]", rest[len(host) :], maxsplit=1)[0] if sep else ""
+    fits = [r for r in rules if r[0] and (host == r[0].lower() or host.endswith("." + r[0].lower())) and path.startswith(r[1] or "")]
+    if not fits:
+        return host, path, None, "allow"
+    best = max(fits, key=lambda r: (len(r[0]) + len(r[1] or ""), len(r[0]), r[2]))
+    return host, path, best[0].lower() + (best[1] or ""), best[2]
+
+
+@pytest.mark.parametrize("bound", [16 << 20, -1])
+def test_urls_by_trying(spark, monkeypatch, bound):
+    """Repeated rows, long URLs, clashing columns, tied and repeated rules; once with the rules joined by a shuffle."""
+    monkeypatch.setattr(url_filter, "BROADCAST_BYTES", bound)
+    rng = np.random.default_rng(6)
+    hosts = ["a.org", "b.a.org", "org", "x.b.a.org", "A.ORG", "ba.org", "", "com"]
+    paths = ["/", "/x", "/x/y", "/x/yz", "", "/" + "p" * 3000, "/x y"]
+    pick = lambda xs: xs[int(rng.integers(len(xs)))]
+    rules = [(pick(hosts), pick(paths), pick(["allow", "block"])) for _ in range(25)] + [("a.org", "/x", "allow"), ("a.org", "/x", "block"), ("com", None, "block"), ("", "/x", "block")]
+    urls = [f"{pick(['http', 'https', 'x'])}{pick(['://', '://', ':/'])}{pick(hosts)}{pick(paths)}{pick(['', '?q=/x', '#/x'])}" for _ in range(400)] + [None, "", "://", None]
+    rows = [(i // 2, u, "host?", "rule?", 1) for i, u in enumerate(urls)]
+    got = url_filter.filter_urls(
+        spark.createDataFrame(rows, "page_id long, url string, host string, rule string, id int").repartition(3), spark.createDataFrame(rules, "host string, path string, verdict string")
+    )
+    assert Counter(tuple(r) for r in got.collect()) == Counter((i, *judged(u, rules)) for i, u, *_ in rows)
+
+
 @pytest.mark.parametrize("which", ["odd", "none", "small"])
 def test_scoring(request, which):
     docs = request.getfixturevalue(which)
@@ -132,6 +315,78 @@ def test_scoring(request, which):
         assert all(r.score < 0 for r in got[d])
 
 
+def plain_tree(texts, depth=ctw.DEPTH):
+    """log10 probability of each text under context-tree weighting learned from the training ones, node by node."""
+    counts = defaultdict(lambda: [0, 0])
+
+    def decisions(data):
+        data = bytes([255] * depth) + data + b"\xff"
+        for i in range(depth, len(data)):
+            place = 1
+            for k in range(8):
+                bit = data[i] >> (7 - k) & 1
+                yield [(d, data[i - d : i], place) for d in range(depth + 1)], bit
+                place = place << 1 | bit
+
+    for train, data in texts:
+        for nodes, bit in decisions(data) if train else ():
+            for node in nodes:
+                counts[node][bit] += 1
+    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
+    weighted, below = {}, defaultdict(float)
+    for node in sorted(counts, key=lambda x: -x[0]):
+        own = kt(*counts[node])
+        weighted[node] = own if node[0] == depth else np.logaddexp(own, below[node]) - math.log(2)
+        if node[0]:
+            below[(node[0] - 1, node[1][1:], node[2])] += weighted[node]
+    out = []
+    for _, data in texts:
+        total = 0.0
+        for nodes, bit in decisions(data):
+            p = 0.5
+            for node in reversed(nodes):
+                if node in counts:
+                    a, b = counts[node]
+                    own = ((b if bit else a) + 0.5) / (a + b + 1)
+                    w = 1.0 if node[0] == depth else math.exp(math.log(0.5) + kt(a, b) - weighted[node])
+                    p = w * own + (1 - w) * p
+            total += math.log10(p)
+        out.append(total)
+    return out
+
+
+def score_cases():
+    rows = [(i, f"text {i % 7} of some words, the {i % 3}th of them: {'abc' * (i % 5)}") for i in range(60)]
+    return [*rows, (60, None), (61, ""), (62, "\u00e9\u6f22\u5b57"), (5, rows[5][1]), (None, "without an id")]
+
+
+@pytest.mark.parametrize("levels", [False, True])
+def test_score_by_plain_tree(spark, monkeypatch, levels):
+    """The score of each text, to many digits, against a tree of Python dicts; once over several levels of messages."""
+    rows = score_cases()
+    if levels:
+        small_parts(monkeypatch, ctw, 300, 900)
+    held = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 10 == 0
+    want = plain_tree([(not held(d), (t or "").encode()) for d, t in rows])
+    got = ctw.score_documents(spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, _text string, _n int").repartition(3)).collect()
+    key = lambda d, n, s: (d is None, d or 0, n, round(s, 7))
+    assert sorted(key(r.doc_id, r.n_tokens, r.score) for r in got) == sorted(key(d, len((t or "").split()) + 1, s) for (d, t), s in zip(rows, want))
+
+
+def test_depth_is_checked(small):
+    for depth in (2, 6):
+        with pytest.raises(ValueError):
+            ctw.score_documents(small, depth=depth)
+
+
+def test_common_context_is_split():
+    """Grams under one pair of bytes go to many buckets, and a subtree stays whole."""
+    grams = np.array([(a << 24 | 116 << 16 | 104 << 8 | 101) for a in range(200)], np.uint64)
+    places = ctw.place_of(grams)
+    assert len(set((places % np.uint64(64)).tolist())) > 40
+    assert len(set(ctw.place_of((np.arange(50, dtype=np.uint64) << np.uint64(32)) | grams[0]).tolist())) == 1
+
+
 def test_context_tree_sums_to_one():
     """After any context, the model's bytes have total probability 1, and one depth is plain KT."""
     grams = np.array([(1 << 16 | 2 << 8 | 3), (1 << 16 | 2 << 8 | 4), (9 << 16 | 2 << 8 | 3)], np.uint64)
@@ -187,6 +442,22 @@ def test_exact(request, which):
     assert sum(r.kept for r in got) == len(groups) == exact_dedup.drop_copies(docs).count()
 
 
+def test_exact_copies_by_row(spark):
+    """Null ids, ids on several texts and repeated rows, with columns named like the operator's own."""
+    rows = [(1, "a  b", 0), (2, "a b", 1), (None, "a\tb", 2), (None, "c", 3), (None, "c", 4), (3, "d", 5), (3, "e", 6), (3, "d", 7), (4, "e", 8), (5, None, 9), (6, "", 10), (None, None, 11)]
+    docs = spark.createDataFrame([(*r, "k", "s") for r in rows], "doc_id long, text string, row int, _keep_id string, sha string").repartition(4)
+    for bound in (150_000, -1):
+        exact_dedup.BROADCAST_ROWS, before = bound, exact_dedup.BROADCAST_ROWS
+        try:
+            out = exact_dedup.drop_copies(docs)
+            left = [r.row for r in out.collect()]
+        finally:
+            exact_dedup.BROADCAST_ROWS = before
+        assert out.columns == docs.columns
+        groups = [{0}, {3, 4}, {5, 7}, {6}, {9}]
+        assert len(left) == len(groups) and all(len(g & set(left)) == 1 for g in groups)
+
+
 @pytest.mark.parametrize("which", ["odd", "none", "small"])
 def test_sharding(request, which):
     docs = request.getfixturevalue(which)
@@ -207,6 +478,44 @@ def test_rebalance():
     assert second.version == 2 and max(load) - min(load) < 0.001 * sum(load) / 40
 
 
+def test_sharding_by_hand(spark, small):
+    """Each row goes where its slot is mapped, ranks run by slot, id, size and checksum, and sizes end near equal."""
+    n = 512
+    got = sharding.shard_documents(small, n_slots=n).collect()
+    sizes = [0] * n
+    for r in got:
+        sizes[r.vslot] += r.size
+    want = sharding.SlotMap.first(40, n).rebalanced(sizes, 40)
+    assert {(r.vslot, r.shard) for r in got} == {(r.vslot, want.shards[r.vslot]) for r in got}
+    assert {r.map_version for r in got} == {want.version}
+    by, load = defaultdict(list), Counter()
+    for r in got:
+        by[r.shard].append(r)
+        load[r.shard] += r.size
+    for rs in by.values():
+        assert [r.slot for r in sorted(rs, key=lambda r: (r.vslot, r.doc_id, r.size, r.text_crc32))] == list(range(len(rs)))
+    # No single move or swap of slots brings the fullest and the emptiest shard closer.
+    high, low = max(range(40), key=lambda s: load[s]), min(range(40), key=lambda s: load[s])
+    gap = load[high] - load[low]
+    ups, downs = ([sizes[v] for v in range(n) if want.shards[v] == s and sizes[v]] for s in (high, low))
+    assert all(abs(gap - 2 * d) >= gap for u in ups for d in (u, *(u - x for x in downs)))
+
+
+def test_kept_map(spark, small, tmp_path):
+    """A stored map is edited where the load asks for it, and left alone where not."""
+    folder = f"file://{tmp_path}/map"
+    one = sharding.shard_documents(small, n_slots=256, folder=folder)
+    first = {(r.doc_id, r.shard, r.map_version) for r in one.collect()}
+    again = {(r.doc_id, r.shard, r.map_version) for r in sharding.shard_documents(small, n_slots=256, folder=folder).collect()}
+    assert first == again and {v for _, _, v in first} == {2}
+    more = sharding.shard_documents(small.unionByName(small.where("doc_id < 60").selectExpr("doc_id + 1000000 AS doc_id", "text", "lang", "source", "n_chars")), n_slots=256, folder=folder).collect()
+    assert {r.map_version for r in more} == {3}
+    old, new = (sharding.SlotMap.load(spark, folder, v).shards for v in (2, 3))
+    assert 0 < sum(a != b for a, b in zip(old, new)) < 200
+    with pytest.raises(ValueError):
+        sharding.shard_documents(small, n_slots=128, folder=folder)
+
+
 @pytest.mark.parametrize("which", ["odd", "none", "small"])
 def test_arrow_tokens(request, which):
     docs = request.getfixturevalue(which)
@@ -220,6 +529,37 @@ def test_arrow_tokens(request, which):
     assert got == want
 
 
+def test_sequence_file(spark, small, tmp_path):
+    """Any sequence of a file, and its mask, as views of the mapped file."""
+    manifest = binary.write_tokens(small, f"file://{tmp_path}/t", files=2).collect()
+    encode = tokens.Encoder(tokens.vocabulary_path("word_bpe_49k.json"), False, "uint16").whole
+    flat = np.concatenate([np.append(np.frombuffer(encode(t), "<u2"), np.uint16(2)) for _, t in sorted(texts(small))])
+    at = 0
+    for m in sorted(manifest, key=lambda m: m.file):
+        file = binary.SequenceFile(m.path)
+        assert len(file) == -(-m.tokens // binary.LENGTH)
+        for i in range(len(file)):
+            ids, mask = file[i]
+            n = min(binary.LENGTH, m.tokens - i * binary.LENGTH)
+            assert len(ids) == len(mask) == binary.LENGTH and mask.sum() == n and mask[:n].all()
+            assert (ids[:n] == flat[at : at + n]).all() and not ids[n:].any()
+            assert not ids.flags.owndata and not mask.flags.owndata
+            at += n
+    assert at == len(flat)
+
+
+def test_null_ids_are_split(spark, small):
+    """Rows without an id are spread over files."""
+    manifest = binary.write_tokens(small.selectExpr("CAST(NULL AS BIGINT) AS doc_id", "text"), f"{session.shared_folder(spark)}/nulls", files=4).collect()
+    assert sum(m.docs > 0 for m in manifest) == 4
+
+
+def test_paths_without_writer(spark):
+    spark._jsc.hadoopConfiguration().set("fs.odd.impl", "org.apache.hadoop.fs.RawLocalFileSystem")
+    with pytest.raises(Exception):
+        binary.shared_path(spark, "odd://x/y")
+
+
 def brute_components(rows):
     sets = {}
     for i, (d, t) in enumerate(rows):
@@ -253,17 +593,106 @@ def test_near(request, which):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(texts(docs))
 
 
-def test_components(spark):
-    links = spark.createDataFrame([(f"{i:03d}", f"{i + 1:03d}") for i in range(40)] + [("900", "901")], "a string, b string")
-    got = {r.v: r.root for r in near_dedup.components(links).collect()}
-    assert len(got) == 43 and got["900"] == got["901"] and len(set(got.values())) == 2
+@pytest.mark.parametrize("few", [0, 3, 10_000])
+def test_components(spark, monkeypatch, few):
+    """A chain, a star and a pair; by rounds alone, by rounds and a task, and by one task."""
+    monkeypatch.setattr(near_dedup, "FEW_LINKS", few)
+    pairs = [(i, i + 1) for i in range(40)] + [(900, 901)] + [(500, 500 + i) for i in range(1, 30)]
+    got = {r.v: r.root for r in near_dedup.components(spark.createDataFrame(pairs, "a long, b long").repartition(3)).collect()}
+    assert len(got) == 41 + 2 + 30
+    groups = defaultdict(set)
+    for v, r in got.items():
+        groups[r].add(v)
+    assert sorted(map(len, groups.values())) == [2, 30, 41]
+    assert near_dedup.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_hot_buckets(spark):
+    """A bucket of over two thousand sets that share much, but are no near copies, with some that are; large sets too."""
+    rng, rows = np.random.default_rng(9), []
+    shared = " ".join(f"common{i}" for i in range(110))
+    for i in range(2300):
+        rows.append((i, f"{shared} " + " ".join(f"own{i}x{j}" for j in range(90))))
+    for i in range(40):  # near copies of some of them, which share rare shingles with these alone
+        words = rows[i * 50][1].split()
+        words[int(rng.integers(115, 195))] = "changed"
+        rows.append((5000 + i, " ".join(words)))
+    for k in range(6):  # large sets, over the sample of fingerprints
+        base = [f"big{k}x{i}" for i in range(3000)]
+        for v in range(4):
+            words = list(base)
+            for at in rng.integers(0, 3000, 10 + 20 * v):
+                words[at] = f"new{rng.integers(1 << 40)}"
+            rows.append((6000 + 10 * k + v, " ".join(words)))
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    want = {}
+    sets = [set(near_dedup.shingle_set(t).tolist()) for _, t in rows]
+    root = list(range(len(rows)))
+    pairs = [(i * 50, 2300 + i) for i in range(40)] + [(a, b) for k in range(6) for a in range(2340 + 4 * k, 2344 + 4 * k) for b in range(2340 + 4 * k, a)]
+    for a, b in pairs:  # all others share under half
+        both = len(sets[a] & sets[b])
+        if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+            low, high = sorted((root[a], root[b]))
+            root = [low if x == high else x for x in root]
+    want = {rows[i][0]: rows[r][0] for i, r in enumerate(root)}
+    assert {r.doc_id: r.component_id for r in got} == want
+    assert sum(k != v for k, v in want.items()) >= 50
+
+
+def keyed(df):
+    return Counter((r.doc_id, r.text) for r in df.select("doc_id", "text").collect())
+
+
+@pytest.mark.parametrize("which", ["odd", "none", "small"])
+def test_pipeline_stages(spark, request, tmp_path, which):
+    """Each stage of the pipeline against plain code, on what the stage before has left."""
+    import corpus_pipeline
+
+    docs = request.getfixturevalue(which)
+    labels = spark.createDataFrame([(1, 1, 0), (8, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    steps = [spark.read.parquet(f"{tmp_path}/documents.parquet")]
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, steps[-1], str(tmp_path)).write.parquet(f"{tmp_path}/{i}")
+        steps.append(spark.read.parquet(f"{tmp_path}/{i}"))
+        if name != "packing":
+            assert steps[-1].columns == docs.columns
+    given, good, distinct, apart, mixed, packed = steps
+    scored = quality.score_documents(given.select("doc_id", "text"), quality.fit(given, labels))
+    assert keyed(good) == Counter((r.doc_id, r.text) for r in scored.where("kept").collect())
+    assert all(not base(t or "")[-1] for (_, t) in keyed(good))
+    groups = defaultdict(list)
+    for r in good.collect():
+        groups[re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "")].append(r)
+    first = Counter(min(((r.doc_id is None, r.doc_id or 0) for r in rs)) for rs in groups.values())
+    assert Counter((r.doc_id is None, r.doc_id or 0) for r in distinct.collect()) == first
+    left = {k[:1] + k[2:]: n for k, n in brute_components(texts(distinct)).items()}
+    assert {r.doc_id for r in apart.collect()} == {d for d, c in left if d == c}
+    assert apart.count() == len({c for _, c in left})
+    sizes = defaultdict(int)
+    for r in apart.collect():
+        sizes[r.source] += len(WORD.findall(r.text or ""))
+    taken = defaultdict(int)
+    for r in mixed.collect():
+        taken[r.source] += len(WORD.findall(r.text))
+    for source, target in filled(sizes).items() if sizes else ():
+        assert abs(taken[source] - target) <= mixing.BLOCK
+    whole = {r.doc_id: WORD.findall(r.text or "") for r in apart.collect()}
+    for r in mixed.collect():
+        words = iter(whole[r.doc_id])
+        assert all(w in words for w in WORD.findall(r.text))  # in their order
+    encode = tokens.Encoder(tokens.vocabulary_path("byte_bpe_50k.json"), True, "uint32").whole
+    assert sum(r.length for r in packed.collect()) == sum(len(encode(t or "")) // 4 + 1 for t, in mixed.select("text").collect())
 
 
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
     sf = "/root/testdata/sf0.001"
-    assert corpus_pipeline.run(spark, sf).count() > 0
+    rows = corpus_pipeline.run(spark, sf).collect()
+    ends = Counter((r.sequence_id, r.offset + r.length) for r in rows)
+    assert rows and all(r.offset == 0 or (r.sequence_id, r.offset) in ends for r in rows)
 
 
 @pytest.mark.parametrize("hot_work", [1_000_000, 1])
