@@ -643,7 +643,7 @@ def keyed(df):
     return Counter((r.doc_id, r.text) for r in df.select("doc_id", "text").collect())
 
 
-@pytest.mark.parametrize("which", ["odd", "none", "small"])
+@pytest.mark.parametrize("which", ["odd", "none"])
 def test_pipeline_stages(spark, request, tmp_path, which):
     """Each stage of the pipeline against plain code, on what the stage before has left."""
     import corpus_pipeline
