@@ -2,8 +2,8 @@
 
 A file holds the ids of consecutive documents as sequences of equal length, so
 a memory-mapped reader finds any sequence and its mask without copying. The mask
-is a byte a token, 1 for the tokens that belong to documents; only a file's last
-sequence has others. Ids
+has a bit a token, the lowest first, 1 for the tokens that belong to documents;
+only a file's last sequence has others. Ids
 are unsigned 16-bit while the vocabulary allows it. Each file has an index
 beside it (doc_id, start in the file, n_tokens), an Arrow stream as well.
 """
@@ -57,7 +57,7 @@ class SequenceWriter:
     def __init__(self, path: str, dtype: str = "<u2", length: int = LENGTH, batch: int = BATCH):
         self.path, self.length, self.batch, self.dtype = path, length, batch, np.dtype(dtype)
         self.schema = pa.schema(
-            {"ids": pa.list_(pa.field("item", pa.from_numpy_dtype(self.dtype), False), length), "mask": pa.list_(pa.field("item", pa.uint8(), False), length)}
+            {"ids": pa.list_(pa.field("item", pa.from_numpy_dtype(self.dtype), False), length), "mask": pa.list_(pa.field("item", pa.uint8(), False), length // 8)}
         )
         self.fs, self.name = _open(path)
         self.temp = f"{self.name}.{uuid.uuid4().hex}"
@@ -81,7 +81,8 @@ class SequenceWriter:
         mask = np.ones(len(flat), np.uint8)
         if known is not None:
             mask[known:] = 0
-        cols = [pa.FixedSizeListArray.from_arrays(pa.array(x), type=t.type) for x, t in zip((flat, mask), self.schema)]
+        packed = np.packbits(mask, bitorder="little")  # a sequence's length is a multiple of 8
+        cols = [pa.FixedSizeListArray.from_arrays(pa.array(x), type=t.type) for x, t in zip((flat, packed), self.schema)]
         self.stream.write_batch(pa.RecordBatch.from_arrays(cols, schema=self.schema))
 
     def close(self) -> None:
@@ -96,7 +97,7 @@ class SequenceWriter:
 
 
 class SequenceFile:
-    """Random access to a file's sequences: file[i] is (ids, mask), views where the file is local and mapped."""
+    """Random access to a file's sequences: file[i] is (ids, mask), views where the file is local and mapped; the mask has its bits packed."""
 
     def __init__(self, path: str, length: int = LENGTH, batch: int = BATCH):
         system, name = _open(path)
@@ -110,8 +111,8 @@ class SequenceFile:
 
     def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         b, j = divmod(i, self.batch)
-        where = slice(j * self.length, (j + 1) * self.length)
-        return self.flat[b][where], self.masks[b][where]
+        n = self.length // 8
+        return self.flat[b][j * self.length : (j + 1) * self.length], self.masks[b][j * n : (j + 1) * n]
 
     def tokens(self, start: int, n: int) -> np.ndarray:
         """n ids from position start, across batches."""

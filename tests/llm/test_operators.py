@@ -539,11 +539,12 @@ def test_sequence_file(spark, small, tmp_path):
         file = binary.SequenceFile(m.path)
         assert len(file) == -(-m.tokens // binary.LENGTH)
         for i in range(len(file)):
-            ids, mask = file[i]
+            ids, packed = file[i]
+            mask = np.unpackbits(packed, bitorder="little")
             n = min(binary.LENGTH, m.tokens - i * binary.LENGTH)
             assert len(ids) == len(mask) == binary.LENGTH and mask.sum() == n and mask[:n].all()
             assert (ids[:n] == flat[at : at + n]).all() and not ids[n:].any()
-            assert not ids.flags.owndata and not mask.flags.owndata
+            assert not ids.flags.owndata and not packed.flags.owndata
             at += n
     assert at == len(flat)
 
