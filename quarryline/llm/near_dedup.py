@@ -7,11 +7,14 @@ corrected for chance agreement, and what passes is confirmed on full sets.
 
 No bucket is expanded into all its pairs. Members are first compared with their
 bucket's hub, its first member, best estimate first. Only members that are then
-in different components are compared with each other: by bit counts inside the
-join and, if these leave it open, by their shingles' 32-bit fingerprints, so
-that little but links leaves it. Where that would be too many comparisons for a
-bucket (HOT_WORK), its members are joined exactly by their rarest shingles,
-which every link at the threshold shares. Full sets confirm every link.
+in different components are compared with each other: by bit counts and, what
+these leave open, each pair once, by their shingles' 32-bit fingerprints, so
+that little but links is left. Small buckets count bits inside a join; the
+comparisons of large ones (TILED_WORK) grow with the square of the corpus, so
+they are dealt over tiles of packed signatures, which numpy compares. Where that
+too would be many comparisons (HOT_WORK), members are joined exactly by their
+rarest shingles, which every link at the threshold shares. Full sets confirm
+every link.
 
 What a link at similarity 0.75 exactly can be lost by: no common band, under
 3e-7 ((1 - 0.75**4)**40); the estimate MARGIN too low, 4.9 standard deviations,
@@ -42,8 +45,11 @@ MARGIN = 0.2
 #: one for sets that are there in full (collisions), seven standard deviations for sampled ones.
 SAMPLE = 1024
 SLACK, SLACK_SAMPLED = 1, 15
+#: Comparisons of a key from which they are dealt over tiles; the rows on a tile's side; signatures compared with a side at a time.
+TILED_WORK = 10_000
+TILE, TILE_STEP = 2048, 64
 #: Comparisons in a bucket from which its members are joined by rare shingles instead.
-HOT_WORK = 1_000_000
+HOT_WORK = 10_000_000_000
 #: Links that one task unites (under 200 KB).
 FEW_LINKS = 10_000
 #: Id lists up to this many rows are broadcast (about 16 MB), larger ones joined by a shuffle.
@@ -306,14 +312,14 @@ def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _open(rows: DataFrame) -> DataFrame:
-    """Of rows (key, v, root) those whose key holds two components or more, with most (the component with most rows there) and work.
+    """Of rows (key, v, root) those whose key holds two components or more, with most (the component with most rows there), its rows n and work.
 
     Pairs are sought between the rows outside `most` and all rows, so work is
     their product: a large component and a few others cost little.
     """
     each = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     several = each.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    several = several.select("key", F.col("m.root").alias("most"), ((F.col("n") - F.col("m.n")) * F.col("n")).alias("work"))
+    several = several.select("key", F.col("m.root").alias("most"), "n", ((F.col("n") - F.col("m.n")) * F.col("n")).alias("work"))
     return rows.join(several, "key")
 
 
@@ -333,15 +339,57 @@ def _stars(near: DataFrame, reps: DataFrame) -> DataFrame:
     return settle(stars.where(_likely("sketch_a", "sketch_b")).select("a", "b", estimate(F.col("sketch_a.sig"), F.col("sketch_b.sig")).alias("e")))
 
 
-def _in_buckets(rows: DataFrame, corpus: Corpus) -> DataFrame:
-    """Likely links between the components of each bucket; rows: key, v, root, most."""
-    prints = prints_of(rows.select("v"), corpus)
-    keys = rows.groupBy("v").agg(F.collect_set("key").alias("keys"))
-    carried = corpus.reps.select("v", F.struct("sig", "size").alias("sketch")).join(prints, "v").join(keys, "v")
-    first = F.col("key") == F.array_min(F.array_intersect("keys_a", "keys_b"))  # each pair leaves one of its buckets
-    pairs = _pairs(rows.join(carried, "v"), _likely("sketch_a", "sketch_b") & first & _close("prints_a", "prints_b"), "sketch", "keys", "prints")
-    out = settle(pairs.distinct())
-    forget(prints)
+def _compared(table: pa.Table) -> pa.Table:
+    """Likely links (a, b) of a tile: rows that seek (outside `most`) and rows that are sought. As _pairs does it with _likely."""
+    col = {c: table.column(c).combine_chunks() for c in table.column_names}
+    seeks = col["seeks"].to_numpy(zero_copy_only=False)
+    v, root, most, size = (col[c].to_numpy() for c in ("v", "root", "most", "size"))
+    sig = col["sig"].flatten().to_numpy().view(np.uint64).reshape(len(v), LONGS)
+    agree = 1 - np.arange(HASHES + 1) / float(HASHES)
+    near = (agree - 2.0**-BITS) / (1 - 2.0**-BITS) >= PERCENT / 100 - MARGIN
+    x, y, odd = np.flatnonzero(seeks), np.flatnonzero(~seeks), np.uint64(0x5555555555555555)
+    to, found = np.ascontiguousarray(sig[y].T), []
+    for low in range(0, len(x), TILE_STEP):
+        mine = x[low : low + TILE_STEP]
+        differing = np.zeros((len(mine), len(y)), np.uint8)
+        for k in range(LONGS):
+            diff = sig[mine, k][:, None] ^ to[k]
+            differing += np.bitwise_count((diff | diff >> np.uint64(1)) & odd)
+        i, j = np.nonzero(near[differing])
+        i, j = mine[i], y[j]
+        alike = 100 * np.minimum(size[i], size[j]) >= PERCENT * np.maximum(size[i], size[j])
+        once = (root[j] == most[j]) | (v[i] < v[j])
+        keep = alike & once & (root[i] != root[j])
+        found.append(np.stack([v[i[keep]], v[j[keep]]]))
+    a, b = np.concatenate(found, 1) if found else np.empty((2, 0), np.int64)
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def _tiled(rows: DataFrame) -> DataFrame:
+    """Likely links (a, b) between the components of a key; rows: what _open gives, with sig and size. A tile holds about TILE rows on a side."""
+    across = F.ceil(F.col("n") / TILE)
+    down = F.ceil(F.col("work") / F.col("n") / TILE)  # work over n is the number of rows that seek
+    one = lambda count: F.pmod(F.xxhash64("v"), count)
+    each = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), count - 1))
+    carried = ["v", "root", "most", "sig", "size"]
+    x = rows.where("root <> most").select("key", one(down).alias("i"), each(across).alias("j"), F.lit(True).alias("seeks"), *carried)
+    y = rows.select("key", each(down).alias("i"), one(across).alias("j"), F.lit(False).alias("seeks"), *carried)
+    return x.unionByName(y).groupBy("key", "i", "j").applyInArrow(_compared, "a long, b long")
+
+
+def _likely_links(rows: DataFrame, corpus: Corpus) -> DataFrame:
+    """Settled distinct likely links (a, b) between the components of each key, near the threshold by fingerprints too; rows: what _open gives."""
+    rows = rows.join(corpus.reps.select("v", "sig", "size"), "v")
+    few = rows.where(F.col("work") < TILED_WORK).withColumn("sketch", F.struct("sig", "size"))
+    likely = settle(_pairs(few, _likely("sketch_a", "sketch_b"), "sketch").union(_tiled(rows.where(F.col("work") >= TILED_WORK))).distinct())
+    if likely.isEmpty():
+        return likely
+    prints = prints_of(likely.select(F.col("a").alias("v")).union(likely.select("b")), corpus)
+    both = likely
+    for c in "ab":
+        both = both.join(prints.select(F.col("v").alias(c), F.col("prints").alias(f"prints_{c}")), c)
+    out = settle(both.where(_close("prints_a", "prints_b")).select("a", "b"))
+    forget(likely, prints)
     return out
 
 
@@ -359,13 +407,10 @@ def _by_rare_shingles(rows: DataFrame, corpus: Corpus) -> DataFrame:
     shared = each.join(common, "key").groupBy("v").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", "key"))).alias("shared"))
     lead = F.col("size") - F.ceil(F.col("size") * PERCENT / 100).cast("int") + 1 - (F.col("size") - F.size("shared"))
     first = shared.select("v", F.explode(F.slice("shared", 1, F.greatest(lead, F.lit(0)))["key"]).alias("key"))
-    found = settle(_open(_rooted_as(first, rows)).drop("work"))
+    found = settle(_open(_rooted_as(first, rows)))
     forget(sets)
-    prints = prints_of(found.select("v"), corpus)
-    carried = corpus.reps.select("v", F.struct("sig", "size").alias("sketch")).join(prints, "v")
-    pairs = _pairs(found.join(carried, "v"), _likely("sketch_a", "sketch_b") & _close("prints_a", "prints_b"), "sketch", "prints")
-    out = settle(pairs.distinct())
-    forget(found, prints)
+    out = _likely_links(found, corpus)
+    forget(found)
     return out
 
 
@@ -393,7 +438,7 @@ def roots_of(corpus: Corpus) -> DataFrame:
 
     open_ = settle(_open(_rooted(near.select("key", "v"), roots)))
     forget(near)
-    for rows, find in ((open_.where(F.col("work") < HOT_WORK).drop("work"), _in_buckets), (open_.where(F.col("work") >= HOT_WORK).select("v", "root").distinct(), _by_rare_shingles)):
+    for rows, find in ((open_.where(F.col("work") < HOT_WORK), _likely_links), (open_.where(F.col("work") >= HOT_WORK).select("v", "root").distinct(), _by_rare_shingles)):
         if not rows.isEmpty():
             pairs = find(rows, corpus)
             roots = _joined(roots, confirmed(pairs, corpus))

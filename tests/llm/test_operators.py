@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarryline.llm import binary, blocks, ctw, exact_dedup, mixing, near_dedup, packing, quality, sharding, suffix_dedup, tokens, url_filter
 
@@ -721,6 +722,32 @@ def test_near_variants(spark, monkeypatch, hot_work):
     assert 3 < len(set(root)) < len(rows)
 
 
+@pytest.mark.parametrize("tiled_work, tile, hot_work", [(10_000, 2048, 10**10), (0, 16, 10**10), (10_000, 16, 0), (10**18, 16, 10**10)])
+def test_near_large_buckets(spark, monkeypatch, tiled_work, tile, hot_work):
+    """Texts of one common passage share buckets without being links: their comparisons, which grow with the square, are dealt over tiles, and no link is lost."""
+    rng, rows = np.random.default_rng(3), []
+    common = " ".join(f"common{i}" for i in range(40))
+    for i in range(600):
+        own = [f"own{i}x{k}" for k in range(10)]
+        rows.append((2 * i, f"{common} {' '.join(own)}"))
+        if i % 30 == 0:
+            rows.append((2 * i + 1, f"{common} {' '.join(own[:9])} other{rng.integers(1 << 40)}"))
+    most, pairs = [], near_dedup._pairs
+
+    def spied(rows, *args):
+        each = [sorted(r.n) for r in rows.groupBy("key", "root").count().groupBy("key").agg(F.collect_list("count").alias("n")).collect()]
+        most.extend((sum(n) - n[-1]) * sum(n) for n in each)
+        return pairs(rows, *args)
+
+    monkeypatch.setattr(near_dedup, "_pairs", spied)
+    monkeypatch.setattr(near_dedup, "TILED_WORK", tiled_work, raising=False)
+    monkeypatch.setattr(near_dedup, "TILE", tile, raising=False)
+    monkeypatch.setattr(near_dedup, "HOT_WORK", hot_work)
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {d: d // 2 * 2 for d, _ in rows}
+    assert max(most, default=-1) < tiled_work
+
+
 def test_near_copies_by_row(spark):
     """One row is left of each component, whatever ids its rows have; rows that share an id, or have none, stand for themselves."""
     word = lambda c, n=40: " ".join(f"{c}{i}" for i in range(n))
