@@ -51,6 +51,24 @@ def small_parts(monkeypatch, module, bucket, block):
     monkeypatch.setattr(module, "BLOCK_BYTES", block)
 
 
+def test_suffix_turns(small, monkeypatch):
+    """Not all messages are shuffled at once: buckets are answered in turns, each once, with the same rows."""
+    want = Counter(tuple(r)[:5] for r in suffix_dedup.remove_repeats(small).collect())
+    settle, read = session.settle, []
+
+    def spied(df, by=None):
+        out = settle(df, by)
+        if by is None:
+            read.append({r.bucket for r in out.where(F.col("kind") == blocks.ANSWER).select("bucket").collect()})
+        return out
+
+    monkeypatch.setattr(blocks, "settle", spied)
+    monkeypatch.setattr(blocks, "TURN_BUCKETS", 16, raising=False)
+    assert Counter(tuple(r)[:5] for r in suffix_dedup.remove_repeats(small).collect()) == want
+    for turns in (read[:5], read[5:]):  # four turns and all their answers, for anchors and for strings
+        assert len(turns) == 5 and sum(map(len, turns[:4])) == len(turns[4]) == len(set.union(*turns[:4]))
+
+
 @pytest.mark.parametrize("bucket", [40_000, 2_000])
 def test_suffix_levels(small, monkeypatch, bucket):
     small_parts(monkeypatch, suffix_dedup, bucket, 60_000)
