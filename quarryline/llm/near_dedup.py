@@ -8,13 +8,16 @@ corrected for chance agreement, and what passes is confirmed on full sets.
 No bucket is expanded into all its pairs. Members are first compared with their
 bucket's hub, its first member, best estimate first. Only members that are then
 in different components are compared with each other: by bit counts and, what
-these leave open, each pair once, by their shingles' 32-bit fingerprints, so
-that little but links is left. Small buckets count bits inside a join; the
-comparisons of large ones (TILED_WORK) grow with the square of the corpus, so
-they are dealt over tiles of packed signatures, which numpy compares. Where that
-too would be many comparisons (HOT_WORK), members are joined exactly by their
-rarest shingles, which every link at the threshold shares. Full sets confirm
-every link.
+these leave open by their shingles, so that little but links is left. Small
+buckets count bits inside a join, and each pair that is left meets 32-bit
+fingerprints once. The comparisons of large ones (TILED_WORK) grow with the
+square of a group, and so does the number of pairs just below the threshold. So
+large buckets that share members are merged, and their comparisons dealt over
+tiles of signatures and shingles, which numpy compares to the end: what leaves a
+tile is a link wherever sets are there in full, and only where its ends are not
+yet connected there. Where that too would be many comparisons (HOT_WORK),
+members are joined exactly by their rarest shingles, which every link at the
+threshold shares. Full sets confirm every link.
 
 What a link at similarity 0.75 exactly can be lost by: no common band, under
 3e-7 ((1 - 0.75**4)**40); the estimate MARGIN too low, 4.9 standard deviations,
@@ -48,6 +51,8 @@ SLACK, SLACK_SAMPLED = 1, 15
 #: Comparisons of a key from which they are dealt over tiles; the rows on a tile's side; signatures compared with a side at a time.
 TILED_WORK = 10_000
 TILE, TILE_STEP = 2048, 64
+#: Large keys that share rows are merged unless that makes more than so many times their comparisons: a row's shingles then go to tiles of one key, not of up to BANDS.
+MERGED_WORK = 4
 #: Comparisons in a bucket from which its members are joined by rare shingles instead.
 HOT_WORK = 10_000_000_000
 #: Links that one task unites (under 200 KB).
@@ -208,16 +213,26 @@ def confirmed(pairs: DataFrame, corpus: Corpus) -> DataFrame:
     return out
 
 
+def _level(s: np.ndarray) -> int:
+    return max(0, int(np.ceil(np.log2(len(s) / SAMPLE)))) if len(s) else 0
+
+
 def fingerprints(s: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
     """A level, the set's 32-bit fingerprints at that level and at the next; each level halves the range they come from."""
-    x = np.unique(s.astype(np.uint32))
-    level = max(0, int(np.ceil(np.log2(len(s) / SAMPLE)))) if len(s) else 0
+    x, level = np.unique(s.astype(np.uint32)), _level(s)
     at = x[x < np.uint64(2 ** (32 - level))]
     # Only a set that is larger by a third or less can be a partner, so small sets need no next level.
     above = at[at < np.uint64(2 ** (31 - level))] if 100 * len(s) >= PERCENT * SAMPLE else at[:0]
     return level, at.view(np.int32), above.view(np.int32)
 
 
+def samples(s: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """As fingerprints, of whole hashes: at level 0 the set itself."""
+    low, level = s.astype(np.uint32), _level(s)
+    above = s[low < np.uint64(2 ** (31 - level))] if 100 * len(s) >= PERCENT * SAMPLE else s[:0]
+    return level, s[low < np.uint64(2 ** (32 - level))].view(np.int64), above.view(np.int64)
+
+
 def prints_of(wanted: DataFrame, corpus: Corpus) -> DataFrame:
     """v, prints (level, at, above) of the sets `wanted` (v)."""
     found = corpus.derived(wanted, fingerprints, {"level": ("int", pa.int32()), "at": INTS_OF, "above": INTS_OF})
@@ -339,49 +354,132 @@ def _stars(near: DataFrame, reps: DataFrame) -> DataFrame:
     return settle(stars.where(_likely("sketch_a", "sketch_b")).select("a", "b", estimate(F.col("sketch_a.sig"), F.col("sketch_b.sig")).alias("e")))
 
 
+class _Held:
+    """The shingles that a tile's rows hold at a level, as numbers from 0."""
+
+    def __init__(self, col: dict[str, pa.Array], level: int):
+        size = len(col["level"])
+        mine = col["level"].to_numpy()
+        lists, rows = [], []
+        for name, at in (("at", level), ("above", level - 1)):
+            there = np.flatnonzero(mine == at)
+            lists.append(col[name].take(pa.array(there)))
+            rows.append(there)
+        self.count, self.start = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        self.count[np.concatenate(rows)] = np.concatenate([np.diff(x.offsets.to_numpy()) for x in lists])
+        ends = np.cumsum(np.concatenate([self.count[r] for r in rows]))
+        self.start[np.concatenate(rows)] = ends - self.count[np.concatenate(rows)]
+        found, self.code = np.unique(np.concatenate([x.flatten().to_numpy() for x in lists]), return_inverse=True)
+        self.mark = np.zeros(len(found), bool)
+
+    def shared(self, i: int, j: np.ndarray) -> np.ndarray:
+        """How many shingles row i shares with each of the rows j."""
+        mine = self.code[self.start[i] : self.start[i] + self.count[i]]
+        self.mark[mine] = True
+        ends = np.cumsum(self.count[j])
+        begins = ends - self.count[j]
+        at = np.repeat(self.start[j] - begins, self.count[j]) + np.arange(ends[-1])
+        sums = np.concatenate([[0], np.cumsum(self.mark[self.code[at]])])
+        self.mark[mine] = False
+        return sums[ends] - sums[begins]
+
+
 def _compared(table: pa.Table) -> pa.Table:
-    """Likely links (a, b) of a tile: rows that seek (outside `most`) and rows that are sought. As _pairs does it with _likely."""
+    """Links (a, b) of a tile: rows that seek (outside `most`) and rows that are sought.
+
+    Pairs that _likely would leave are compared by their shingles. Sets that are
+    there in full (level 0) are thereby decided; a link of theirs connects its
+    ends' components, and pairs within what is connected are passed over. Of
+    sampled sets all other pairs near the threshold are given.
+    """
     col = {c: table.column(c).combine_chunks() for c in table.column_names}
     seeks = col["seeks"].to_numpy(zero_copy_only=False)
-    v, root, most, size = (col[c].to_numpy() for c in ("v", "root", "most", "size"))
+    v, root, most, size, level = (col[c].to_numpy() for c in ("v", "root", "most", "size", "level"))
     sig = col["sig"].flatten().to_numpy().view(np.uint64).reshape(len(v), LONGS)
     agree = 1 - np.arange(HASHES + 1) / float(HASHES)
     near = (agree - 2.0**-BITS) / (1 - 2.0**-BITS) >= PERCENT / 100 - MARGIN
     x, y, odd = np.flatnonzero(seeks), np.flatnonzero(~seeks), np.uint64(0x5555555555555555)
-    to, found = np.ascontiguousarray(sig[y].T), []
+    to, held, found = np.ascontiguousarray(sig[y].T), {}, []
+    part = np.unique(root, return_inverse=True)[1]  # the component of each row, as it is known in this tile
     for low in range(0, len(x), TILE_STEP):
         mine = x[low : low + TILE_STEP]
         differing = np.zeros((len(mine), len(y)), np.uint8)
         for k in range(LONGS):
             diff = sig[mine, k][:, None] ^ to[k]
             differing += np.bitwise_count((diff | diff >> np.uint64(1)) & odd)
-        i, j = np.nonzero(near[differing])
-        i, j = mine[i], y[j]
-        alike = 100 * np.minimum(size[i], size[j]) >= PERCENT * np.maximum(size[i], size[j])
-        once = (root[j] == most[j]) | (v[i] < v[j])
-        keep = alike & once & (root[i] != root[j])
-        found.append(np.stack([v[i[keep]], v[j[keep]]]))
-    a, b = np.concatenate(found, 1) if found else np.empty((2, 0), np.int64)
+        for i, likely in zip(mine.tolist(), near[differing], strict=True):
+            j = y[likely]
+            once = (root[j] == most[j]) | (v[i] < v[j])
+            j = j[once & (100 * np.minimum(size[i], size[j]) >= PERCENT * np.maximum(size[i], size[j]))]
+            higher = np.maximum(level[i], level[j])  # sizes that allow a link are at most a level apart
+            for at in np.unique(higher).tolist():
+                k = j[(higher == at) & (part[j] != part[i])]
+                if not len(k):
+                    continue
+                if at not in held:
+                    held[at] = _Held(col, at)
+                both, sizes = held[at].shared(i, k), held[at].count[i] + held[at].count[k]
+                if at:
+                    least = PERCENT - SLACK_SAMPLED
+                    found += [(i, b) for b in k[(100 + least) * both >= least * sizes].tolist()]
+                    continue
+                k = k[100 * both >= PERCENT * (sizes - both)]
+                parts, first = np.unique(part[k], return_index=True)
+                found += [(i, b) for b in k[first].tolist()]
+                part[np.isin(part, parts)] = part[i]
+    a, b = v[np.array(found, np.int64).reshape(-1, 2).T]
     return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
 def _tiled(rows: DataFrame) -> DataFrame:
-    """Likely links (a, b) between the components of a key; rows: what _open gives, with sig and size. A tile holds about TILE rows on a side."""
+    """Links (a, b) that connect the components of a key; rows: what _open gives, with sig, size and samples. A tile holds about TILE rows on a side."""
     across = F.ceil(F.col("n") / TILE)
     down = F.ceil(F.col("work") / F.col("n") / TILE)  # work over n is the number of rows that seek
     one = lambda count: F.pmod(F.xxhash64("v"), count)
     each = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), count - 1))
-    carried = ["v", "root", "most", "sig", "size"]
+    carried = ["v", "root", "most", "sig", "size", "level", "at", "above"]
     x = rows.where("root <> most").select("key", one(down).alias("i"), each(across).alias("j"), F.lit(True).alias("seeks"), *carried)
     y = rows.select("key", each(down).alias("i"), one(across).alias("j"), F.lit(False).alias("seeks"), *carried)
     return x.unionByName(y).groupBy("key", "i", "j").applyInArrow(_compared, "a long, b long")
 
 
+def _merged(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Settled rows of keys that share rows, under one key (a block) as far as MERGED_WORK allows; the other rows, as they are. rows: what _open gives."""
+    hubs = rows.groupBy("key").agg(F.min("v").alias("hub"), F.first("work").alias("work"))
+    links = rows.select("key", "v").join(hubs, "key").where("v <> hub").select(F.col("v").alias("a"), F.col("hub").alias("b")).distinct()
+    blocks = components(links)
+    block = blocks.select("v", F.col("root").alias("block"))
+    apart = hubs.withColumnRenamed("hub", "v").join(block, "v").groupBy(F.col("block").alias("key")).agg(F.sum("work").alias("apart"))
+    together = _open(rows.select("v", "root").distinct().join(block, "v").select(F.col("block").alias("key"), "v", "root"))
+    together = settle(together.join(apart, "key").where(F.col("work") <= MERGED_WORK * F.col("apart")).drop("apart"))
+    forget(blocks)
+    return together, rows.join(together.select("v"), "v", "left_anti")
+
+
 def _likely_links(rows: DataFrame, corpus: Corpus) -> DataFrame:
-    """Settled distinct likely links (a, b) between the components of each key, near the threshold by fingerprints too; rows: what _open gives."""
-    rows = rows.join(corpus.reps.select("v", "sig", "size"), "v")
-    few = rows.where(F.col("work") < TILED_WORK).withColumn("sketch", F.struct("sig", "size"))
-    likely = settle(_pairs(few, _likely("sketch_a", "sketch_b"), "sketch").union(_tiled(rows.where(F.col("work") >= TILED_WORK))).distinct())
+    """Settled distinct pairs (a, b) that connect the components of each key as its links do, most of them links; rows: what _open gives."""
+    sketches_ = corpus.reps.select("v", "sig", "size")
+    large, few = settle(rows.where(F.col("work") >= TILED_WORK)), rows.where(F.col("work") < TILED_WORK)
+    few = few.join(sketches_.select("v", F.struct("sig", "size").alias("sketch")), "v")
+    if large.isEmpty():
+        forget(large)
+        return _few_links(_pairs(few, _likely("sketch_a", "sketch_b"), "sketch"), corpus)
+    together, others = _merged(large)
+    sets = corpus.derived(large.select("v"), samples, {"level": ("int", pa.int32()), "at": LONGS_OF, "above": LONGS_OF})
+    links = settle(_tiled(together.unionByName(others).join(sketches_, "v").join(sets, "v")).distinct())
+    forget(sets)
+    # Pairs within a block have met.
+    few = few.join(together.select("v", F.col("key").alias("block")), "v", "left")
+    met = F.coalesce(F.col("block_a") == F.col("block_b"), F.lit(False))
+    pairs = _few_links(_pairs(few, ~met & _likely("sketch_a", "sketch_b"), "sketch", "block"), corpus)
+    out = settle(links.union(pairs).distinct())
+    forget(large, together, links, pairs)
+    return out
+
+
+def _few_links(pairs: DataFrame, corpus: Corpus) -> DataFrame:
+    """Settled distinct pairs (a, b) that are near the threshold by fingerprints."""
+    likely = settle(pairs.distinct())
     if likely.isEmpty():
         return likely
     prints = prints_of(likely.select(F.col("a").alias("v")).union(likely.select("b")), corpus)

@@ -766,6 +766,29 @@ def test_near_large_buckets(spark, monkeypatch, tiled_work, tile, hot_work):
     assert max(most, default=-1) < tiled_work
 
 
+@pytest.mark.parametrize("words, own, groups, tiled_work, tile", [(50, 12, 110, 10_000, 2048), (50, 12, 110, 0, 32), (1500, 300, 20, 0, 2048), (1000, 190, 14, 0, 2048)])
+def test_near_misses(spark, monkeypatch, words, own, groups, tiled_work, tile):
+    """Texts just below the threshold are decided where they meet, so only what connects leaves a tile: not the square of a group, and no link is lost. Sets in full, sampled, and of both kinds."""
+    monkeypatch.setattr(near_dedup, "TILED_WORK", tiled_work)
+    monkeypatch.setattr(near_dedup, "TILE", tile)
+    rng, rows, common = np.random.default_rng(4), [], [f"common{i}" for i in range(words)]
+    for i in range(groups):
+        tail = [f"own{i}x{k}" for k in range(own)]
+        for _ in range(1 + 3 * (i % 10 == 0)):  # some have near copies, which are linked with each other
+            rows.append((len(rows), " ".join(common + tail)))
+            tail = [*tail[:-1], f"other{rng.integers(1 << 40)}"] if own < 100 else [*tail, *(f"other{rng.integers(1 << 40)}" for _ in range(15))]
+    left, tiled = [], near_dedup._tiled
+
+    def spied(rows):
+        left.append(tiled(rows).count())
+        return tiled(rows)
+
+    monkeypatch.setattr(near_dedup, "_tiled", spied)
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
+    assert left and (own >= 100 or max(left) <= len(rows))
+
+
 def test_near_copies_by_row(spark):
     """One row is left of each component, whatever ids its rows have; rows that share an id, or have none, stand for themselves."""
     word = lambda c, n=40: " ".join(f"{c}{i}" for i in range(n))
