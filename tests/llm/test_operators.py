@@ -789,6 +789,24 @@ def test_near_misses(spark, monkeypatch, words, own, groups, tiled_work, tile):
     assert left and (own >= 100 or max(left) <= len(rows))
 
 
+def test_pipeline_near_misses(spark, monkeypatch):
+    """The near dedup stage of the pipeline on texts just below the threshold, and a copy of one without an id: no pair that is no link leaves a tile."""
+    import corpus_pipeline
+
+    common, left, tiled = " ".join(f"common{i}" for i in range(50)), [], near_dedup._tiled
+    rows = [(i, f"{common} " + " ".join(f"own{i}x{k}" for k in range(12)), "a") for i in range(300)]
+    rows.append((None, rows[7][1] + " end", "a"))
+
+    def spied(rows):
+        left.append(tiled(rows).count())
+        return tiled(rows)
+
+    monkeypatch.setattr(near_dedup, "_tiled", spied)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    assert keyed(corpus_pipeline.drop_near_copies(spark, docs, "")) == Counter((d, t) for d, t, _ in rows if d is not None)
+    assert left and max(left) <= 1
+
+
 def test_near_copies_by_row(spark):
     """One row is left of each component, whatever ids its rows have; rows that share an id, or have none, stand for themselves."""
     word = lambda c, n=40: " ".join(f"{c}{i}" for i in range(n))
