@@ -17,9 +17,10 @@ which UTF-8 text has some thousands and can't have over 65,536.
 
 from __future__ import annotations
 
+import itertools
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -40,9 +41,10 @@ END = 0xFF
 #: Training leaves out documents whose crc32 of the id as text is a multiple of this.
 FOLDS = 10
 ALPHA = 0.1
-#: Text bytes for each bucket, of a block, and of the part of a block whose grams are sorted at a time.
+#: Text bytes for each bucket, of a block, and of the part of a block whose grams are sorted at a time; grams of messages that are summed at a time, or as many as are distinct so far.
 BUCKET_BYTES = 64 << 20
-BLOCK_BYTES, CHUNK_BYTES = 8 << 20, 2 << 20
+BLOCK_BYTES, CHUNK_BYTES = 8 << 20, 1 << 20
+MERGE_GRAMS = 1 << 18
 
 _N = np.arange(1, 4096, dtype=np.float64)
 _HALF = np.concatenate([[0.0], np.cumsum(np.log(_N - 0.5))])
@@ -133,40 +135,38 @@ def predict(grams: np.ndarray, levels: dict[int, Level]) -> np.ndarray:
     return total
 
 
-def gram_pairs(lengths: np.ndarray, data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (gram, document) of a block, sorted, with their counts: gram, document, count."""
-    n = len(lengths)
-    starts = np.concatenate([[0], np.cumsum(lengths + depth + 1)[:-1]]) if n else np.empty(0, np.int64)
-    flat = np.full(int(lengths.sum()) + n * (depth + 1), END, np.uint8)
-    doc = np.repeat(np.arange(n), lengths)
-    flat[np.arange(len(data)) + (depth + 1) * doc + depth] = data
-    keys = np.zeros(len(flat) - depth if len(flat) else 0, np.uint64)
-    for j in range(depth + 1):
-        keys |= flat[j : len(flat) - depth + j].astype(np.uint64) << np.uint64(8 * (depth - j) + 16)
-    whose = np.repeat(np.arange(n, dtype=np.uint64), lengths + depth + 1)[: len(keys)]
-    inside = np.arange(len(keys)) - starts[whose.astype(np.int64)] <= lengths[whose.astype(np.int64)]
-    keys = np.sort((keys | whose)[inside])
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
-    return keys[first] >> np.uint64(16), (keys[first] & np.uint64(0xFFFF)).astype(np.int32), np.diff(np.append(first, len(keys))).astype(np.int32)
-
-
-def chunks(lengths: np.ndarray, most: int = CHUNK_BYTES) -> list[tuple[int, int]]:
-    """Ranges of documents of about `most` bytes each, one document at least."""
-    ends, out, low = np.cumsum(lengths), [], 0
-    while low < len(lengths):
-        start = int(ends[low - 1]) if low else 0
-        high = max(low + 1, int(np.searchsorted(ends, start + most, "right")))
-        out.append((low, high))
-        low = high
-    return out
-
-
-def pairs_by_chunk(lengths: np.ndarray, data: np.ndarray, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """The first document of each chunk, and its gram_pairs."""
-    ends = np.cumsum(lengths)
-    for low, high in chunks(lengths):
-        start = int(ends[low - 1]) if low else 0
-        yield low, *gram_pairs(lengths[low:high], data[start : int(ends[high - 1])], depth)
+def sorted_grams(lengths: np.ndarray, data: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each chunk of a block's positions, wherever it cuts documents: distinct grams, sorted; how often each occurs; the documents of its occurrences, in the order of the grams."""
+    sizes = lengths + depth + 1
+    ends = np.cumsum(sizes)
+    text = np.ones(int(sizes.sum()), bool)
+    for j in range(depth):
+        text[ends - sizes + j] = False
+    text[ends - 1] = False
+    flat = np.full(len(text), END, np.uint8)
+    flat[text] = data
+    del text
+    for low in range(0, len(flat) - depth, CHUNK_BYTES):
+        high = min(low + CHUNK_BYTES, len(flat) - depth)
+        a, b = int(np.searchsorted(ends, low, "right")), int(np.searchsorted(ends, high - 1, "right")) + 1
+        keys = np.zeros(high - low, np.uint64)
+        for j in range(depth + 1):
+            keys <<= np.uint64(8)
+            keys |= flat[low + j : high + j]
+        keys <<= np.uint64(16)
+        keys |= np.repeat(np.arange(a, b, dtype=np.uint16), np.minimum(ends[a:b], high) - np.maximum(ends[a:b] - sizes[a:b], low))
+        inside = np.ones(len(keys), bool)
+        for j in range(1, depth + 1):
+            past = ends[a:b] - j - low
+            inside[past[(past >= 0) & (past < len(keys))]] = False
+        keys = keys[inside]
+        if not len(keys):
+            continue
+        keys.sort()
+        doc = (keys & np.uint64(0xFFFF)).astype(np.uint16)
+        keys >>= np.uint64(16)
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        yield keys[first], np.diff(np.append(first, len(keys))).astype(np.int32), doc
 
 
 def place_of(grams: np.ndarray) -> np.ndarray:
@@ -179,9 +179,11 @@ def held_out(ids: np.ndarray, known: np.ndarray) -> np.ndarray:
     return np.array([zlib.crc32(str(i).encode() if k else b"") % FOLDS == 0 for i, k in zip(ids.tolist(), known.tolist())], bool)
 
 
-def texts_of(lengths: np.ndarray, data: np.ndarray) -> list[bytes]:
-    raw, ends = data.tobytes(), np.cumsum(lengths).tolist()
-    return [raw[e - n : e] for e, n in zip(ends, lengths.tolist())]
+def words_of(lengths: np.ndarray, data: np.ndarray) -> Iterator[list[bytes]]:
+    """The words of each text."""
+    ends = np.cumsum(lengths).tolist()
+    for e, n in zip(ends, lengths.tolist()):
+        yield data[e - n : e].tobytes().lower().split()
 
 
 @dataclass
@@ -203,15 +205,30 @@ class Content:
         return *blocks.by_digit(blocks.digit(place_of(self.grams), widths, level)), *blocks.by_digit(blocks.digit(crcs, widths, level))
 
 
+def gathered(parts: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of all parts and the sums of their counts, holding few parts at a time."""
+    grams, counts, some, size = np.empty(0, np.uint64), np.empty(0, np.int64), [], 0
+    for part in parts:
+        some.append(part)
+        size += len(part[0])
+        if size > max(MERGE_GRAMS, len(grams)):
+            grams, counts = sums(*map(np.concatenate, zip((grams, counts), *some)))
+            some, size = [], 0
+    return sums(*map(np.concatenate, zip((grams, counts), *some))) if some else (grams, counts)
+
+
 def merge(payloads: list[bytes]) -> Content:
-    found, words = [], {}
-    for p in payloads:
-        d, n, w, text = blocks.unsqueeze(p)
-        found.append((blocks.undeltas(d), n))
-        if len(w):
-            for word, c in zip(text.tobytes().split(b"\n"), w.tolist()):
-                words[word] = words.get(word, 0) + c
-    return Content.of(*sums(np.concatenate([g for g, _ in found]), np.concatenate([n for _, n in found])), words)
+    words: dict[bytes, int] = {}
+
+    def parts():
+        for p in payloads:
+            d, n, w, text = blocks.unsqueeze(p)
+            if len(w):
+                for word, c in zip(text.tobytes().split(b"\n"), w.tolist()):
+                    words[word] = words.get(word, 0) + c
+            yield blocks.undeltas(d), n
+
+    return Content.of(*gathered(parts()), words)
 
 
 def split(content: Content, widths: list[int], level: int) -> Iterator[tuple[int, bytes]]:
@@ -260,15 +277,12 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def ask(ids, known, lengths, data):
         train = ~held_out(ids, known)
-        grams, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-        for low, gram, doc, n in pairs_by_chunk(lengths, data, depth):
-            some = sums(gram, np.where(train[low + doc], n, 0).astype(np.int64))
-            grams, counts = sums(np.concatenate([grams, some[0]]), np.concatenate([counts, some[1]]))
+        found = ((gram, np.add.reduceat(train[doc], np.cumsum(n) - n, dtype=np.int64)) for gram, n, doc in sorted_grams(lengths, data, depth))
+        grams, counts = gathered(found)
         words: Counter = Counter()
-        learned: Counter = Counter()
-        for t, x in zip(texts_of(lengths, data), train.tolist()):
-            (learned if x else words).update(t.lower().split())
-        yield from split(Content.of(grams, counts, {w: learned.get(w, 0) for w in words.keys() | learned.keys()}), widths, 0)
+        for t, x in zip(words_of(lengths, data), train.tolist()):
+            words.update(t if x else dict.fromkeys(t, 0))
+        yield from split(Content.of(grams, counts, words), widths, 0)
 
     levels = blocks.descend(blocks.make(docs, id_col, text_col, BLOCK_BYTES, ask), exchange := blocks.Exchange(widths, merge, lambda c, i: split(c, widths, i), None, None))
 
@@ -311,22 +325,21 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def finish(_, got, held):
         ids, known, lengths, data = blocks.unpack(held[0])
-        found = list(pairs_by_chunk(lengths, data, depth))
-        texts = [t.lower().split() for t in texts_of(lengths, data)]
-        grams = blocks.distinct(np.concatenate([g for _, g, _, _ in found]))
-        content = Content.of(grams, np.zeros(len(grams), np.int64), dict.fromkeys({w for t in texts for w in t}, 0))
-        value, c = assembled(content, got, widths, 0)
+        found = list(sorted_grams(lengths, data, depth))
+        index: defaultdict = defaultdict(itertools.count().__next__)
+        texts = [np.fromiter(map(index.__getitem__, t), np.int32, len(t)) for t in words_of(lengths, data)]
+        grams = blocks.distinct(np.concatenate([g for g, _, _ in found]))
+        content = Content.of(grams, np.zeros(len(grams), np.int64), dict.fromkeys(index, 0))
+        value, learned = assembled(content, got, widths, 0)
         score = np.zeros(len(ids))
-        for low, gram, doc, n in found:
-            part = np.bincount(doc, n * value[np.searchsorted(grams, gram)])
-            score[low : low + len(part)] += part
-        index = {w: i for i, w in enumerate(content.words)}
-        c = np.append(c, ends)
+        for gram, n, doc in found:
+            score += np.bincount(doc, np.repeat(value[np.searchsorted(grams, gram)], n), len(ids))
+        c = np.empty(len(index) + 1, np.int64)
+        c[np.fromiter(map(index.__getitem__, content.words), np.int64, len(index))], c[-1] = learned, ends
         logs = np.log10((c + ALPHA) / (total + ALPHA * (distinct + 1)))
         base, tokens, some = np.empty(len(ids)), np.empty(len(ids), np.int64), np.empty(len(ids), np.int64)
         for i, t in enumerate(texts):
-            at = np.fromiter(map(index.__getitem__, t), np.int64, len(t))
-            at = np.append(at, len(c) - 1)
+            at = np.append(t, len(c) - 1)
             base[i], tokens[i], some[i] = logs[at].sum(), len(at), (c[at] > 0).sum()
         bits = -score * np.log2(10) / (lengths + 1)
         cols = [pa.array(ids, pa.int64(), mask=~known), held_out(ids, known), tokens, some, np.full(len(ids), total), base, score, bits]

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -392,6 +393,56 @@ def test_score_by_plain_tree(spark, monkeypatch, levels):
     assert sorted(key(r.doc_id, r.n_tokens, r.score) for r in got) == sorted(key(d, len((t or "").split()) + 1, s) for (d, t), s in zip(rows, want))
 
 
+def test_scoring_holds_little(spark, monkeypatch):
+    """What a task of scoring holds at once of a block of texts and of a bucket's messages, by numpy's and Python's own count."""
+    got = {}
+    for name, at in (("make", 4), ("ascend", 1), ("by_block", 1)):
+        monkeypatch.setattr(blocks, name, lambda *a, f=getattr(blocks, name), name=name, at=at: got.update({name: a[at]}) or f(*a))
+    ctw.score_documents(spark.createDataFrame([(1, "a text")], "doc_id long, text string"))
+    rng = np.random.default_rng(5)
+    names = np.array(["".join(map(chr, rng.integers(97, 123, int(n)))) for n in rng.integers(2, 10, 20_000)])
+    docs = [" ".join(names[np.minimum(rng.zipf(1.3, 800), 20_000) - 1]).encode() for _ in range(1_500)]
+    payload = blocks.pack(list(range(len(docs))), docs)
+    size = sum(map(len, docs))
+
+    def run(f):
+        tracemalloc.start()
+        try:
+            return f(), tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    asked, asking = run(lambda: dict(got["make"](*blocks.unpack(payload))))
+    answers = {b: got["ascend"].answer([m])[0] for b, m in asked.items()}
+    rows, finishing = run(lambda: got["by_block"](0, answers, [payload]))
+    message = max(asked.values(), key=len)
+    grams = len(blocks.unsqueeze(message)[0])
+    content, merging = run(lambda: ctw.merge([message] * (2_000_000 // grams)))
+    assert rows.column(2).to_pylist() == [len(t.split()) + 1 for t in docs] and len(content.grams) == grams
+    assert asking < 12 * size and finishing < 14 * size and merging < 32 << 20, (size, asking, finishing, merging)
+
+
+def test_grams_by_chunk(monkeypatch):
+    """Chunks cut texts anywhere, and each gram of each text is there once for each time it occurs."""
+    rows = ["abcabcabcabc", "", "b", "", "", "a long text " * 9, "\u00e9\u6f22\u5b57", ""]
+    data = [t.encode() for t in rows]
+    want = Counter()
+    for i, t in enumerate(data):
+        padded = b"\xff" * 5 + t + b"\xff"
+        want.update((int.from_bytes(padded[j : j + 6]), i) for j in range(len(t) + 1))
+    lengths, flat = np.array([len(t) for t in data]), np.frombuffer(b"".join(data), np.uint8)
+    for most in (1, 7, 64, 1 << 20):
+        monkeypatch.setattr(ctw, "CHUNK_BYTES", most)
+        parts = list(ctw.sorted_grams(lengths, flat, 5))
+        assert sum((Counter(zip(np.repeat(g, n).tolist(), doc.tolist())) for g, n, doc in parts), Counter()) == want
+        monkeypatch.setattr(ctw, "MERGE_GRAMS", most)
+        grams, counts = ctw.gathered((g, n) for g, n, _ in parts)
+        total = Counter()
+        for (g, _), n in want.items():
+            total[g] += n
+        assert grams.tolist() == sorted(total) and dict(zip(grams.tolist(), counts.tolist())) == total
+
+
 def test_depth_is_checked(small):
     for depth in (2, 6):
         with pytest.raises(ValueError):
