@@ -586,6 +586,42 @@ def test_kept_map(spark, small, tmp_path):
         sharding.shard_documents(small, n_slots=128, folder=folder)
 
 
+class Counted:
+    """A tokenizer, and how many texts and units it got."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.n = tokenizer, 0
+
+    def encode(self, text, **options):
+        self.n += 1
+        return self.tokenizer.encode(text, **options)
+
+    def encode_batch_fast(self, texts, **options):
+        self.n += len(texts)
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_units_between_white_space(monkeypatch):
+    """Ids are those of the whole text; new words do not go through the whole tokenizer each, and a full cache keeps the units it met first."""
+    encode = tokens.Encoder(tokens.vocabulary_path("word_bpe_49k.json"), False, "uint16")
+    latin = ["H\u0331 h\u0331 E\u0301a \u00c9a, \u00e9\u0327x", "\u0130I\u0131 \u017f \u03a3\u03c3\u03c2 \u212a\u212b", "(\u00c9t\u00e9) l'\u00e9t\u00e9's IT'S !'t", "x\u00aa \u00ba\u00b5\u00d7\u00f7 12\u00b2 3\u00e9"]
+    for text in [*latin, "a<\u0338b <\u0338", "a\x00b \x85c\xa0d\u200be\u3000f <|endoftext|>", "Ab" * 100, "ab," * 100, " \n"]:
+        assert encode(text) == encode.whole(text)
+    encode.cache.clear()
+    encode.tokenizer = Counted(encode.tokenizer)
+    monkeypatch.setattr(tokens, "CACHE_UNITS", 400)
+    encode("The common,")
+    letters = [c * 2 for c in "abcdefghij"]
+    words = [x + y + z for x in letters for y in letters for z in "\u00e9klmno"]
+    for i in range(0, len(words), 20):
+        text = " ".join(f"{w.title()}. ({w}) {w}!" for w in words[i : i + 20])
+        encode(text)
+    encode("The common,")
+    assert encode.tokenizer.n == 5  # the marks
+    assert "common," in encode.cache and len(encode.cache) < 600
+    assert encode(text) == encode.whole(text)
+
+
 @pytest.mark.parametrize("which", ["odd", "none", "small"])
 def test_arrow_tokens(request, which):
     docs = request.getfixturevalue(which)
