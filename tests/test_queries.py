@@ -152,7 +152,7 @@ def test_links_below_host(spark, tmp_path):
     assert got == {(1, "https://example.com/a"), *[(1, u) for u in below], (2, "https://blog.example.com/a"), *[(2, u) for u in below]}
 
 
-@pytest.mark.parametrize("name", ["html_text_nodes", "html_title", "page_report"])
+@pytest.mark.parametrize("name", ["html_text_nodes", "html_title", "page_report", "page_store"])
 def test_cut_references(spark, tmp_path, name):
     """A name that no semicolon ends is no reference, in titles and text nodes; the same rows as SQL."""
     heads = ["x&amp;&amp", "a &am", "&copy b &middot;", "&amp;amp", "&quot", "&amp;copy; &quot;q&quot;"]
