@@ -13,6 +13,10 @@ from ..session import forget, settle
 
 #: Priority of sitemap URLs, whatever they look like, and of the start URL.
 SITEMAP, START = 50, 100
+#: Marks in the place of a depth: a link, a page whose links have all been read; in the place of a number: a page to read.
+LINK, READ, UNREAD = -1, -2, -1
+#: Pages that a job reads before it knows that it needs them, at most.
+AHEAD = 20_000
 
 
 def seeds(starts: DataFrame, sitemap_urls: DataFrame) -> DataFrame:
@@ -73,46 +77,87 @@ def _first(rows: DataFrame, most: int | None) -> DataFrame:
     return rows if most is None else rows.orderBy(F.desc("priority"), "url").limit(most)
 
 
-def simulate(jobs: DataFrame, starts: DataFrame, links: DataFrame) -> DataFrame:
+def simulate(jobs: DataFrame, starts: DataFrame, links: DataFrame, ahead: int = AHEAD) -> DataFrame:
     """job, nth, url, depth: what each job crawls, in the exact order of its queue.
 
-    jobs: job, max_pages, max_depth. starts: what seeds gives. links: job, src,
-    dst, priority, pos, the links that the job's pages would offer. The queue
-    gives the highest priority first, then the earliest pushed; what is queued
-    or visited is not pushed again, so a URL keeps the depth of its first push.
-    A job is one group: its pages are bounded by max_pages, its links by pages.
+    jobs: job, max_pages, max_depth. starts: what seeds gives. links: src, dst,
+    priority, pos, the links that pages would offer; and job, if jobs see
+    different ones. The queue gives the highest priority first, then the
+    earliest pushed; what is queued or visited is not pushed again, so a URL
+    keeps the depth of its first push.
+
+    A job is one group, of the pages that it has read. It is walked until it
+    needs the links of a page that it has not read; then those of all pages it
+    may read next are joined to it, and it is walked again. These are the pages
+    within its depth, while there are at most `ahead`; else those of its queue,
+    at most max_pages. So a round is a join, of as many as the depth for small
+    jobs, and no group holds the links of other pages.
     """
-    start = starts.select("job", F.lit(None).cast("string").alias("src"), F.col("url").alias("dst"), "priority", F.col("seq").alias("pos"), "depth")
-    edges = links.select("job", "src", F.col("dst"), "priority", F.col("pos").cast("long").alias("pos"), F.lit(-1).alias("depth"))
-    rows = start.unionByName(edges).join(jobs, "job")
+    key = [c for c in ("job", "src") if c in links.columns]
+    edges = links.select(*key, "dst", "priority", F.col("pos").cast("long").alias("pos"), F.lit(LINK).alias("depth"))
+    names = ["job", "src", "dst", "priority", "pos", "depth"]
+    own = starts.withColumnsRenamed({"url": "dst", "seq": "pos"}).withColumn("src", F.lit(None).cast("string"))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(list(_walk(part)), columns=["job", "nth", "url", "depth"])
-
-    return rows.groupBy("job").applyInPandas(run, "job string, nth long, url string, depth int")
-
-
-def _walk(part: pd.DataFrame) -> Iterator[tuple]:
-    part = part.sort_values("pos", kind="stable")
+        return pd.DataFrame(list(_walk(part, ahead)), columns=["job", "nth", "url", "depth"])
+
+    held = settle(own.select(names))
+    while True:
+        out = settle(held.join(jobs, "job").groupBy("job").applyInPandas(run, "job string, nth long, url string, depth int"))
+        wanted = out.where(F.col("nth") == UNREAD).select("job", F.col("url").alias("src"))
+        if wanted.isEmpty():
+            forget(held)
+            return out
+        read = wanted.select("job", "src", F.lit(None).cast("string").alias("dst"), F.lit(0).alias("priority"), F.lit(0).cast("long").alias("pos"), F.lit(READ).alias("depth"))
+        more = settle(held.unionByName(read).unionByName(edges.join(wanted, key).select(names)))
+        forget(held, out)
+        held = more
+
+
+def _walk(part: pd.DataFrame, ahead: int) -> Iterator[tuple]:
+    """The visited pages of a job; or, if links of a page are missing, pages to read, under the number UNREAD."""
+    part = part.sort_values(["pos", "dst"], kind="stable")
     job, most, deepest = part["job"].iloc[0], int(part["max_pages"].iloc[0]), int(part["max_depth"].iloc[0])
     out: dict[str, list] = {}
     queue: list[tuple] = []
     known: set[str] = set()
+    visited: list[tuple] = []
 
     def push(url, depth, priority):
         if url not in known:
             known.add(url)
             heapq.heappush(queue, (-priority, len(known), url, depth))
 
-    for r in part[part["depth"] < 0].itertuples():
+    read = set(part.loc[part["depth"] == READ, "src"])
+    for r in part[part["depth"] == LINK].itertuples():
         out.setdefault(r.src, []).append((r.dst, r.priority))
-    for r in part[part["depth"] >= 0].itertuples():
-        push(r.dst, int(r.depth), r.priority)
-    n = 0
-    while queue and n < most:
-        _, _, url, depth = heapq.heappop(queue)
-        yield job, n, url, depth
-        n += 1
-        if depth < deepest and n + len(queue) < most:
+    first = [(r.dst, int(r.depth), r.priority) for r in part[part["depth"] >= 0].itertuples()]
+    for r in first:
+        push(*r)
+    while queue and len(visited) < most:
+        _, _, url, depth = queue[0]
+        leads = depth < deepest and len(visited) + len(queue) < most
+        if leads and url not in read:
+            near = _unread(first, out, read, deepest)
+            if len(read) + len(near) > ahead:
+                near = [u for _, _, u, d in heapq.nsmallest(most - len(visited), queue) if d < deepest and u not in read]
+            yield from ((job, UNREAD, u, 0) for u in near)
+            return
+        heapq.heappop(queue)
+        visited.append((job, len(visited), url, depth))
+        if leads:
             for dst, priority in sorted(out.get(url, []), key=lambda x: -x[1]):
                 push(dst, depth + 1, priority)
+    yield from visited
+
+
+def _unread(first: list[tuple], out: dict[str, list], read: set[str], deepest: int) -> list[str]:
+    """Pages above the greatest depth that the links read so far lead to, and that are not read."""
+    found, seen, front = [], set(), set()
+    for depth in range(deepest):
+        front = ({u for u, d, _ in first if d == depth} | {dst for u in front for dst, _ in out.get(u, [])}) - seen
+        if not front and depth > max(d for _, d, _ in first):
+            break
+        seen |= front
+        found += [u for u in front if u not in read]
+    return found

@@ -170,7 +170,7 @@ def frontier_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = recorded(spark, sf_dir, LINKS_SQL, "lineitem")
     jobs = values(spark, "job string, max_pages int, max_depth int", [("a", 200, 3), ("b", 40, 2)])
     starts = frontier.seeds(values(spark, "job string, url string", [("a", "/n/1"), ("b", "/n/2")]), values(spark, "job string, url string, seq int", [("a", "/n/3", 1)]))
-    return frontier.simulate(jobs, starts, links.join(F.broadcast(jobs.select("job"))))
+    return frontier.simulate(jobs, starts, links)
 
 
 def rate_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,6 +129,30 @@ def test_simulated_queue(spark):
     assert [(r.url, r.depth) for r in got if r.job == "b"] == queue_order([("/1", 0, 100)], links, 1000, 2)
 
 
+@pytest.mark.parametrize("ahead", [0, 40, 20_000])
+def test_simulated_queue_reads_what_it_needs(spark, monkeypatch, ahead):
+    """Links of pages that a job cannot read stay out of its group; with links for all jobs, and with few pages read ahead."""
+    import random
+
+    rng, sizes, settle = random.Random(6), [], frontier.settle
+
+    def counted(df):
+        sizes.append((out := settle(df)).count())
+        return out
+
+    monkeypatch.setattr(frontier, "settle", counted)
+    links = [(f"/{rng.randrange(60)}", f"/{rng.randrange(60)}", rng.choice([40, 50, 100]), i) for i in range(240)]
+    apart = spark.range(50_000).selectExpr("concat('/far', id % 5000) AS src", "concat('/far', id % 7) AS dst", "40 AS priority", "id AS pos")
+    edges = spark.createDataFrame(links, "src string, dst string, priority int, pos long").unionByName(apart)
+    starts = spark.createDataFrame([("a", "/0", 0, 100, 9), ("a", "/7", 1, 50, 2), ("b", "/1", 0, 100, 1), ("c", "/none", 0, 100, 1)], "job string, url string, depth int, priority int, seq long")
+    jobs_ = spark.createDataFrame([("a", 25, 4), ("b", 1000, 3), ("c", 5, 5)], "job string, max_pages int, max_depth int")
+    got = frontier.simulate(jobs_, starts, edges, ahead).orderBy("job", "nth").collect()
+    assert [(r.url, r.depth) for r in got if r.job == "a"] == queue_order([("/7", 1, 50), ("/0", 0, 100)], links, 25, 4)
+    assert [(r.url, r.depth) for r in got if r.job == "b"] == queue_order([("/1", 0, 100)], links, 1000, 3)
+    assert [(r.job, r.nth, r.url, r.depth) for r in got if r.job == "c"] == [("c", 0, "/none", 0)]
+    assert sizes and max(sizes) < 1000
+
+
 def test_robots_odd(spark):
     """Nulls, empty files, every kind of line end, and a colon-less line between two agents."""
     rows = [("a", "User-agent: x\r\nnonsense\rUSER-AGENT : y\nDisallow:/p\u2028Disallow: /q"), ("b", None), ("c", "")]
