@@ -163,3 +163,17 @@ def test_cut_references(spark, tmp_path, name):
     c.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     want = c.execute(Q.ORACLE[name]).fetchdf()
     assert rows(Q.QUERIES[name](spark, str(tmp_path)).toPandas(), sorted(want.columns)) == rows(want, sorted(want.columns))
+
+
+def test_texts_are_searched_once(spark):
+    """A listing joins contacts with their sources; both come from one search of the texts."""
+    assert Q.QUERIES["contacts_joined"](spark, SF)._jdf.queryExecution().toString().count("posexplode(") < 2
+
+
+def test_text_without_marks(spark, tmp_path):
+    """A long run of short labels holds no obfuscated email and no profile; it is not searched for them from each of its places."""
+    docs = [(1, "a." * 30_000 + " call 415-555-2671", "a"), (2, "b. [at]Ab.org DOT uk; c_AT x[dot]de", "a"), (3, "x AT y DOT comm2 é.bob (at) ex.org [.] com", "b"), (4, "linkedin.com/IN/Ann-B LinkedIn.com/feed/x AT", "b")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = Q.QUERIES["contacts_dedup"](spark, str(tmp_path)).collect()
+    want = [("email", ".bob@ex.org.com"), ("email", "b.@ab.org.uk"), ("linkedin", "https://www.linkedin.com/in/ann-b"), ("phone", "+14155552671")]
+    assert sorted((r.type, r.normalized_value) for r in got) == want
