@@ -913,3 +913,32 @@ def test_near_copies_by_row(spark):
     groups = [{0}, {2}, {3}, {4}, {6}, {7, 8, 9}, {10, 11}, {12, 13}, {15}, {16}, {17}, {18}]
     assert len(left) == len(groups) and all(len(g & set(left)) == 1 for g in groups)
     assert near_dedup.drop_near_copies(docs.limit(0)).count() == 0
+
+
+def test_suffix_buckets_are_sorted_in_parts(monkeypatch):
+    """A bucket sorts PART_BYTES at a time, strings of one place together, with the least ids of all its windows."""
+    import random
+
+    S = suffix_dedup
+    rng, seen, classes = random.Random(5), [], S.window_classes
+
+    def noted(text, starts):
+        seen.append(len(text))
+        return classes(text, starts)
+
+    monkeypatch.setattr(S, "PART_BYTES", 2000)
+    monkeypatch.setattr(S, "window_classes", noted)
+    tails = [bytes(rng.choices(b"ab", k=60)) for _ in range(150)]
+    messages = [[(t[rng.randrange(5) :], rng.randrange(1000), k % 140) for k, t in enumerate(tails) if rng.random() < 0.7] for _ in range(3)]
+    least: dict = {}
+    for t, i, place in (x for m in messages for x in m):
+        for k in range(len(t) - S.WINDOW + 1):
+            w = (place, t[k : k + S.WINDOW])
+            least[w] = min(i, least.get(w, i))
+    pack = lambda m: blocks.squeeze(
+        np.array([len(t) for t, _, _ in m], np.int32), np.array([i for _, i, _ in m], np.int64), np.array([p for _, _, p in m], np.uint32), np.frombuffer(b"".join(t for t, _, _ in m), np.uint8)
+    )
+    got = S.string_exchange([1]).answer([pack(m) for m in messages])
+    for m, a in zip(messages, got):
+        assert blocks.unsqueeze(a)[0].tolist() == [least[place, t[k : k + S.WINDOW]] for t, _, place in m for k in range(len(t) - S.WINDOW + 1)]
+    assert len(seen) > 5 and max(seen) < 4000
